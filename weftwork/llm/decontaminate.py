@@ -17,6 +17,7 @@ are left out; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -152,6 +153,40 @@ def digest(ids: list[str]) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
+_WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def without(text: str, hits: list[list[int]]) -> str:
+    """text without its hit spans of words, and without what stands between the words of a span."""
+    at = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
+    out, done = [], 0
+    for a, b in hits:
+        out.append(text[done : at[a][0]])
+        done = at[b - 1][1]
+    return "".join([*out, text[done:]])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without contaminated documents (two items or more); single items' passages are cut out of the others."""
+    names = docs.columns
+    found = decontaminate(docs, benchmark, **options).where(F.size("items") < 2)
+
+    def run(batches):
+        for batch in batches:
+            cols = {c: batch.column(c) for c in names}
+            hits = batch.column("hits").to_pylist()
+            if any(hits):
+                texts = [without(t, h) if h else t for t, h in zip(cols["text"].to_pylist(), hits)]
+                cols["text"] = pa.array(texts, pa.string())
+                if "n_chars" in cols:
+                    size = [len(t) if h else n for t, h, n in zip(texts, hits, cols["n_chars"].to_pylist())]
+                    cols["n_chars"] = pa.array(size, cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return found.mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document the digest columns of the contract; contaminated from two items on."""
     found = decontaminate(docs, benchmark, **options)
@@ -168,8 +203,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _SQL_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: For one row per document (doc_id distinct), as SQL names documents by doc_id.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),

@@ -111,5 +111,37 @@ def scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id", reach: int
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
+def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[removed]") -> str:
+    """text with each run of overlapping spans replaced by the mark."""
+    out, done = [], 0
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if a >= done:
+            out += [text[done:a], mark]
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
+def redact(docs: DataFrame, *, reach: int = REACH) -> DataFrame:
+    """docs with the secrets and linked parts of text replaced; n_chars, if there, follows."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            cols = {c: batch.column(c) for c in names}
+            texts, changed = [], []
+            for x in cols["text"].to_pylist():
+                spans = base_spans(x) if x else []
+                spans += linked_spans(x, spans, reach) if x else []
+                texts.append(redacted(x, spans) if spans else x)
+                changed.append(bool(spans))
+            if any(changed):
+                cols["text"] = pa.array(texts, pa.string())
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, cols["n_chars"].to_pylist())], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
