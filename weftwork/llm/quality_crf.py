@@ -50,7 +50,6 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if len(again) > 1:
         again[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
     repeats = repeated_words(words)
-    long = (words.end - words.start) > 12
     capped = np.zeros(len(words.start), bool)
     head = data[words.start]
     capped[:] = (head >= 65) & (head <= 90)
@@ -118,6 +117,8 @@ class Model:
         return forward_backward(x @ self.w[1:] + self.w[0], self.a, doc)[0]
 
     def documents(self, x, doc, size, n_docs: int) -> np.ndarray:
+        if self.curve is None:  # labels of one kind only
+            return np.full(n_docs, self.empty)
         good = self.lines(x, doc)
         total = np.bincount(doc, size, n_docs)
         mean = np.bincount(doc, size * good, n_docs) / np.maximum(total, 1)
@@ -161,7 +162,7 @@ def train(x: np.ndarray, label: np.ndarray, doc: np.ndarray, size: np.ndarray, d
     """label: of each line; doc_label: of each document."""
     share = float(doc_label.mean()) if len(doc_label) else 1.0
     if not len(x) or doc_label.min() == doc_label.max():
-        return Model(np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), (30.0 if share == 1 else -30.0 if share == 0 else 0.0, 0.0), share)
+        return Model(np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), None, share)
     w, a = _fit_lines(x, label, doc)
     good = forward_backward(x @ w[1:] + w[0], np.zeros((2, 2)), doc)[0]
     worst = np.ones(len(doc_label))
