@@ -49,7 +49,7 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 
 from .common import table, write_shared
 
-WINDOW, END, CACHE_WORDS, BUCKET_ROWS, NNLS_ROUNDS = 2048, 1, 400_000, 50_000, 400
+WINDOW, END, CACHE_WORDS, BUCKET_ROWS, NNLS_ROUNDS = 2048, 1, 700_000, 50_000, 400
 
 # Pre-tokens of the tokenizer's own split over Latin text; anything else goes to the tokenizer whole.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -37,49 +37,66 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]")
 
 
 class Encoder:
-    """ids of whole texts as little-endian unsigned 32-bit bytes; pre-tokens are encoded once and kept."""
+    """ids of whole texts as little-endian unsigned bytes; pre-tokens are encoded once and kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model, self.known, self.kind = Tokenizer.from_file(path), {}, f"<u{width}"
         self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """ids of pre-tokens, many at once: the tokenizer tells which pre-token each id is from."""
+        out = []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            x = self.model.encode(" ".join(some), add_special_tokens=False)
+            own = np.array(x.word_ids)
+            if not len(own) or own[-1] != len(some) - 1:
+                out += [self.whole(w) for w in some]
+                continue
+            ids, cut = np.array(x.ids, self.kind).tobytes(), np.searchsorted(own, np.arange(len(some) + 1)) * int(self.kind[-1])
+            out += [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        return out
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _OTHER.search(text) or "<|" in text and any(s in text for s in self.special):
-            return self.whole([text])[0]
+            return self.whole(text)
         words = _PRE.findall(unicodedata.normalize("NFC", text).lower())
         known = self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            known.update(zip(new, self.whole(new)))
-            return b"".join([known[w] for w in words])
+            self.learn(words)
+            return b"".join(map(known.__getitem__, words))
 
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        new = list({w for w in words if w not in self.known})
+        self.known.update(zip(new, self.words(new)))
 
-_encoders: dict[str, Encoder] = {}
 
+_encoders: dict[tuple, Encoder] = {}
 
-def encoder(path: str) -> Encoder:
+
+def encoder(path: str, width: int) -> Encoder:
     """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
-def tokenise(docs: DataFrame, path: str, end: int = END, ids_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit), the end id last."""
+def tokenise(docs: DataFrame, path: str, end: int = END, width: int = 4, ids_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id and ids (binary: little-endian unsigned of width bytes), the end id last."""
 
     def run(batches):
-        encode, tail = encoder(path), np.array([end], "<u4").tobytes()
+        encode, tail = encoder(path, width), np.array([end], f"<u{width}").tobytes()
         for batch in batches:
             ids, keys, size = [], [], 0
             key = batch.column(0).to_pylist()
@@ -219,10 +236,10 @@ class Plan:
         return {c: np.array(sorted(x), np.int64) for c, x in own.items()}
 
 
-def pack(tokens: DataFrame, *, window: int = WINDOW, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pieces of tokens (doc_id, ids): doc_id, start, ids, doc_tokens, sequence_id, offset."""
+def pack(tokens: DataFrame, *, window: int = WINDOW, width: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pieces of tokens (doc_id, ids of width bytes): doc_id, start, ids (of 4 bytes), doc_tokens, sequence_id, offset."""
     spark = tokens.sparkSession
-    written = write_shared(tokens.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n"), F.monotonically_increasing_id().alias("row")), "packing-ids")
+    written = write_shared(tokens.select("doc_id", "ids", (F.octet_length("ids") / width).cast("long").alias("n"), F.monotonically_increasing_id().alias("row")), "packing-ids")
     tail = (F.col("n") % window).cast("int")
     found = written.groupBy(tail.alias("c")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.floor(F.col("n") / window)).alias("w")).collect()
     counts, total, full = np.zeros(window, np.int64), 0, 0
@@ -272,7 +289,7 @@ def pack(tokens: DataFrame, *, window: int = WINDOW, bucket_rows: int = BUCKET_R
                         pieces.append((top + s, size, seq + rank - r, at))
                 for s, size, seq, at in pieces:
                     keys.append(col["doc_id"][i])
-                    rows.append((s, ids[4 * s : 4 * (s + size)].to_pybytes(), n, seq, at))
+                    rows.append((s, np.frombuffer(ids, f"<u{width}", size, width * s).astype("<u4").tobytes(), n, seq, at))
                 if len(rows) > 2000:
                     yield _pieces(keys, rows, batch)
                     keys, rows = [], []
@@ -298,5 +315,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def packed(docs: DataFrame, width: int = 2) -> DataFrame:
+    """The digest of docs (doc_id, text) packed; ids below 2**16 take two bytes until they are packed."""
+    return digest(pack(tokenise(docs, tokenizer_path(), width=width), width=width))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(tokenise(table(spark, sf_dir, "documents"), tokenizer_path())))
+    return packed(table(spark, sf_dir, "documents"))
