@@ -31,7 +31,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.digest(packing.pack(packing.tokenise(docs, packing.tokenizer_path())))
+    return packing.packed(docs)
 
 
 STAGES = [
