@@ -1,6 +1,6 @@
 r"""Token counts by trie-shared dynamic programming.
 
-A text's pre-tokens (a blank and the characters up to the next one) are inserted in a trie. The unigram
+A text's pre-tokens (a blank and the characters up to the next one; line breaks alone) are inserted in a trie. The unigram
 forward score of a prefix - the best sum of piece scores over its segmentations - depends on the prefix
 alone, so it is computed once for each trie node, from the nodes above it, and shared by all words that
 begin so. A word's terminal count is the number of pieces on the best path; a text's count is the sum over
@@ -11,7 +11,7 @@ a first blank is put before the text). Characters outside the vocabulary stand a
 UTF-8 bytes. Of equal scores, the path whose last piece is longest wins.
 
 Scale: one narrow pass, no shuffle: each Python worker keeps a trie and terminal counts bounded by
-``max_nodes`` and ``max_words``, and starts anew beyond that; results do not depend on it.
+``max_nodes`` and ``max_words``, and starts that one anew beyond its bound; results do not depend on it.
 
 Defined results: null and empty texts have 0 pre-tokens and 0 tokens; repeated rows are rows of their
 own; extra columns are ignored.
@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-MAX_NODES, MAX_WORDS = 700_000, 400_000
+MAX_NODES, MAX_WORDS = 600_000, 1_200_000
 BLANK = "▁"
-_WORD = re.compile(r" ?[^ ]+| ")
 
 
 def pieces(path: str) -> dict[str, float]:
@@ -46,9 +45,9 @@ class Trie:
         self.score, self.longest = vocabulary, max(map(len, vocabulary), default=1)
         self.alphabet = frozenset(c for w in vocabulary for c in w)
         self.max_nodes, self.max_words = max_nodes, max_words
-        self.clear()
-
-    def clear(self) -> None:
+        # no piece crosses a line break or tab that no piece holds, so these stand alone
+        alone = "".join(c for c in "\n\r\t" if c not in self.alphabet)
+        self.word = re.compile(f" ?[^ {alone}]+|[ {alone}]")
         self.next, self.best, self.count, self.words = {}, [0.0], [0], {}
 
     def _span(self, s: str) -> int:
@@ -73,9 +72,11 @@ class Trie:
 
     def insert(self, word: str) -> int:
         """Terminal count of a pre-token."""
+        if self.alphabet.issuperset(word):
+            return self._span(word)
         total, run = 0, []
         for c in word:
-            if c in self.score:
+            if c in self.alphabet:
                 run.append(c)
             else:  # outside the vocabulary: no piece crosses it
                 if run:
@@ -88,16 +89,21 @@ class Trie:
         """Pre-tokens and tokens of a text."""
         if not text:
             return 0, 0
-        words = _WORD.findall(" " + text)
+        words = self.word.findall(" " + text)
+        try:
+            return len(words), sum(map(self.words.__getitem__, words))
+        except KeyError:
+            self.learn(set(words))
+            return len(words), sum(map(self.words.__getitem__, words))
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.best) > self.max_nodes:  # counts of known words stay
+            self.next, self.best, self.count = {}, [0.0], [0]
+        if len(self.words) > self.max_words:
+            self.words = {}
         known = self.words
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(self.best) > self.max_nodes or len(known) > self.max_words:
-                self.clear()
-                known, new = self.words, list(set(words))
-            for w in sorted(new):  # neighbours share prefixes
-                known[w] = self.insert(BLANK + w[1:] if w[0] == " " else w)
-        return len(words), sum(map(known.__getitem__, words))
+        for w in sorted(w for w in words if w not in known):  # neighbours share prefixes
+            known[w] = self.insert(BLANK + w[1:] if w[0] == " " else w)
 
 
 _tries: dict[str, Trie] = {}
