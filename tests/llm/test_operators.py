@@ -318,7 +318,7 @@ def test_jaccard_loose_groups(spark, monkeypatch):
             rows.append((i, " ".join(v[: rng.randint(66, 80)])))
             i += 1
     want = brute_groups(rows)
-    monkeypatch.setattr(jaccard._cross_pairs, "__defaults__", (3,))
+    monkeypatch.setattr(jaccard._cross_pairs, "__defaults__", (3, False))
     got = jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert collected(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 

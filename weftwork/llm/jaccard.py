@@ -1,7 +1,7 @@
 r"""N-gram Jaccard join: groups of documents linked by a Jaccard similarity of 0.8 or more on 5-word shingles.
 
 1. One pass makes each text's shingle set, its size, a 64-bit key of the set, and a parity bitmap (bit k is
-   the parity of the shingles hashed to k, about one bit for each shingle). Texts with equal sets are one
+   the parity of the shingles hashed to k, two to four bits for each shingle). Texts with equal sets are one
    class from here on. The pass also counts in how many texts the shingles of each of 2**18 hash buckets
    stand; these counts order all shingles from rare to common.
 2. A second pass emits the rarest fifth of each set: two sets with similarity 0.8 share one of these. Rows
@@ -9,9 +9,10 @@ r"""N-gram Jaccard join: groups of documents linked by a Jaccard similarity of 0
 3. In each tile, every row is paired with its neighbour in size order and with the first of its band: a tile
    of m rows makes fewer than 2 m pairs. Bitmaps bound the overlap from above, |A and B| <= (|A| + |B| -
    hamming) / 2; the pairs left are decided by exact intersection of sorted arrays. Links give groups.
-4. Tiles whose rows are in one group hold nothing more. In the others, all pairs of different groups are
-   held against size and bitmap bounds, block by block; those left and not yet decided are decided exactly.
-   So no link between groups is lost, while tight groups never cost all their pairs.
+4. Tiles whose rows are in one group hold nothing more. In the others, each row takes the partner of another
+   group whose bitmap is nearest; these pairs are decided, groups joined, and that is done again. Last, all
+   pairs of rows that are still in different groups are held against size and bitmap bounds, block by block,
+   and those left are decided. So no link between groups is lost, while tight groups never cost all pairs.
 
 Scale: rows of copies are merged before the shuffle by shingle, in each task; pair rows carry ids until the
 bitmaps have been used; only texts of such pairs are shuffled, once. The counts sent to the driver and the
@@ -34,7 +35,7 @@ from pyspark.sql import Window as W
 
 from .common import SPACED_FOLD, Scan, flat, gram_hash, mix, slices, table, write_shared
 
-WORDS, NUM, DEN, BUCKET_BITS, BLOCK, MAX_ROUNDS = 5, 4, 5, 18, 2000, 100
+WORDS, NUM, DEN, BUCKET_BITS, BLOCK, BEST_ROUNDS, MAX_ROUNDS = 5, 4, 5, 18, 2000, 2, 100
 
 
 def shingles(column: pa.Array, k: int = WORDS) -> list[np.ndarray]:
@@ -54,8 +55,8 @@ def key_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of at least 64 and at least len(s) bits, a power of two."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
+    """Parity bitmap of at least 64 and at least 2 len(s) bits, a power of two."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
@@ -200,6 +201,19 @@ def components(links: DataFrame, label: str) -> DataFrame:
     raise RuntimeError("label propagation has not ended")
 
 
+def contracted(labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """labels after links between groups: the groups are the nodes, so most links fall together."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
+    between = write_shared(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{label}-between")
+    if between.isEmpty():
+        return labels
+    joined = components(between, label).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    known = labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    new = joined.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("least").alias("label"))
+    return write_shared(known.union(new), f"{label}-labels")
+
+
 def _tiles(prefixes: DataFrame) -> DataFrame:
     """Tiles with two or more sets: each row with the one before it and the first of its band."""
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM)).cast("int")
@@ -215,8 +229,8 @@ def _near_pairs(tiles: DataFrame) -> DataFrame:
     return first.select("a", "b").union(by("v").select("a", "b")).distinct()
 
 
-def _cross_pairs(tiles: DataFrame, labels: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of different groups in the same tile that sizes and bitmaps leave open."""
+def _cross_pairs(tiles: DataFrame, labels: DataFrame, classes: DataFrame, block: int = BLOCK, best: bool = False) -> DataFrame:
+    """Pairs of different groups in the same tile that sizes and bitmaps leave open; with best, for each row the nearest only."""
     rows = tiles.select("token", "fp", "n").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 != l1 and m > 2").select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     rows = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
@@ -231,14 +245,14 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, classes: DataFrame, block:
             edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             last = int(edge[-1]) if len(edge) else 0
             rest = t.slice(last).combine_chunks().to_batches()[0]
-            yield from _in_tiles(t.slice(0, last), [0, *edge.tolist()])
+            yield from _in_tiles(t.slice(0, last), [0, *edge.tolist()], best)
         if rest is not None:
-            yield from _in_tiles(pa.Table.from_batches([rest]), [0, rest.num_rows])
+            yield from _in_tiles(pa.Table.from_batches([rest]), [0, rest.num_rows], best)
 
     return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def _in_tiles(t: pa.Table, edge: list[int]):
+def _in_tiles(t: pa.Table, edge: list[int], best: bool):
     if not t.num_rows:
         return
     fp, n, label, own, i, j = (t.column(c).to_numpy() for c in ("fp", "n", "label", "own", "i", "j"))
@@ -251,6 +265,7 @@ def _in_tiles(t: pa.Table, edge: list[int]):
         stacked = {w: folded_rows(bits[s:e], words, w) for w in np.unique(words).tolist()}
         size, lab, side = n[s:e], label[s:e], own[s:e]
         cross = i[s] != j[s]
+        least, mate = np.full(e - s, 1 << 30), np.zeros(e - s, np.int64)
         stop = np.searchsorted(size, size * DEN // NUM, side="right")
         for k in range(e - s - 1):
             q = np.arange(k + 1, stop[k])
@@ -261,9 +276,21 @@ def _in_tiles(t: pa.Table, edge: list[int]):
                 continue
             m, place = stacked[int(words[k])]
             hamming = np.bitwise_count(m[place[q]] ^ m[place[k]]).sum(1)
-            q = q[may_link(size[k], size[q], hamming.astype(np.int64))]
-            out_a.append(np.full(len(q), fp[s + k]))
-            out_b.append(fp[s + q])
+            hamming = hamming.astype(np.int64)
+            open_ = may_link(size[k], size[q], hamming)
+            q, hamming = q[open_], hamming[open_]
+            if not best:
+                out_a.append(np.full(len(q), fp[s + k]))
+                out_b.append(fp[s + q])
+            elif len(q):
+                nearer = hamming < least[q]
+                least[q[nearer]], mate[q[nearer]] = hamming[nearer], k
+                n0 = int(hamming.argmin())
+                if hamming[n0] < least[k]:
+                    least[k], mate[k] = hamming[n0], q[n0]
+        if best and (found := np.flatnonzero(least < 1 << 30)).size:
+            out_a.append(fp[s + found])
+            out_b.append(fp[s + mate[found]])
     if out_a:
         a, b = np.concatenate(out_a), np.concatenate(out_b)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -291,11 +318,13 @@ def join_groups(docs: DataFrame) -> DataFrame:
     near = write_shared(_near_pairs(tiles), "jaccard-near")
     links = _decided(_bounded(near, classes), classes, docs, "jaccard-near")
     labels = components(links, "jaccard-near")
-    cross = _cross_pairs(tiles, labels, classes).join(near, ["a", "b"], "left_anti")
-    more = _decided(cross, classes, docs, "jaccard-cross")
-    if not more.isEmpty():
-        # groups so far and the new links between them
-        labels = components(links.union(more), "jaccard-all")
+    decided = near
+    for k in range(BEST_ROUNDS):
+        best = write_shared(_cross_pairs(tiles, labels, classes, best=True).join(decided, ["a", "b"], "left_anti"), f"jaccard-best{k}")
+        labels = contracted(labels, _decided(best, classes, docs, f"jaccard-best{k}"), f"jaccard-best{k}")
+        decided = decided.union(best)
+    rest = _cross_pairs(tiles, labels, classes).join(decided, ["a", "b"], "left_anti")
+    labels = contracted(labels, _decided(rest, classes, docs, "jaccard-rest"), "jaccard-rest")
     named = classes.select("fp", "rep").join(labels.select(F.col("node").alias("fp"), "label"), "fp")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = write_shared(named.join(least, "label").select("fp", "component_id"), "jaccard-groups")
