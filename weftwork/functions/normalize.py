@@ -110,25 +110,37 @@ def skill_synonyms(items: Column, groups: dict[str, list[str]], case_sensitive:
     return F.array_distinct(named) if case_sensitive else first_by(named, lambda s: F.lower(s))
 
 
+def _keep_apart(xs) -> list[str]:
+    out: list[str] = []
+    for x in xs:
+        if all(plain_token_sort(x.lower(), y.lower()) < 0.85 for y in out):
+            out.append(x)
+    return out
+
+
 @arrow("array<string>")
 def near_distinct(items: pd.Series) -> pd.Series:
     """Without skills that come near (85 %) one kept before."""
+    return items.map(lambda xs: None if xs is None else _keep_apart(xs))
 
-    def keep(xs):
-        if xs is None:
-            return None
-        out: list[str] = []
-        for x in xs:
-            if all(plain_token_sort(x.lower(), y.lower()) < 0.85 for y in out):
-                out.append(x)
-        return out
 
-    return items.map(keep)
+def skills(items: Column, groups: dict[str, list[str]], case_sensitive: bool = False) -> Column:
+    """Canonical names without repeats and near repeats. Lists of two or more go to one Arrow function whole: its
+    argument stays a plain column, as Spark can't plan Arrow functions of nested lambdas."""
+    index = synonym_index(groups)
 
+    def tidy(lists: pd.Series) -> pd.Series:
+        def one(xs):
+            if xs is None:
+                return None
+            named: dict[str, str] = {}
+            for s in (index.get(x.lower(), x) for x in xs):
+                named.setdefault(s if case_sensitive else s.lower(), s)
+            return _keep_apart(named.values())
 
-def skills(items: Column, groups: dict[str, list[str]], case_sensitive: bool = False) -> Column:
-    named = skill_synonyms(items, groups, case_sensitive)
-    return F.when(F.size(named) > 1, near_distinct(named)).otherwise(named)
+        return lists.map(one)
+
+    return F.when(F.size(items) < 2, skill_synonyms(items, groups, case_sensitive)).otherwise(F.pandas_udf(tidy, "array<string>")(F.when(F.size(items) > 1, items)))
 
 
 # Forms that are compared, never shown

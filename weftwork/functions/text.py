@@ -85,7 +85,8 @@ def known_fields(fields: Column) -> Column:
 
 def first_by(items: Column, by) -> Column:
     """Elements whose key has not stood before; keys are computed once."""
-    return let(F.transform(items, by), lambda keys: F.filter(items, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    # items are bound as well: what stands inside a lambda can't hold an Arrow function
+    return let(items, lambda xs: let(F.transform(xs, by), lambda keys: F.filter(xs, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def cell_list(c: Column) -> Column:

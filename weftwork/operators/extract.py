@@ -139,8 +139,9 @@ def extract_csv(raw: DataFrame) -> DataFrame:
 
 def extract_text(raw: DataFrame) -> DataFrame:
     df = raw.withColumn("body", F.nullif("raw_text", F.lit("")))
+    given = F.transform(F.filter("fields", lambda f: f["key"] == "link"), lambda f: X.link(X.with_scheme(f["value"]), X.site(f["value"])))
     df = df.withColumn("parts", F.when(F.col("body").isNotNull(), resume.sections(F.col("body"))))
-    values = {f: F.when(F.col("body").isNotNull(), v).otherwise(_blank(f)) for f, v in resume.parsed(F.col("body"), F.col("parts")).items()}
+    values = {f: F.when(F.col("body").isNotNull(), v).otherwise(_blank(f)) for f, v in resume.parsed(F.col("body"), F.col("parts"), given).items()}
     return record(df, values)
 
 

@@ -63,25 +63,25 @@ def least_similarity(members: DataFrame, config: Confidence, ratio=Z.ratio_udf)
     """(group_id, field, n, similarity): the least similarity of any two values of a compared scalar field.
 
     Equal forms are one value, so copies make no pairs; similarity is null for fields with one record."""
-    out = None
-    for name in SCALARS:
-        if config.thresholds(name).skip_agreement:
-            continue
-        own = members.where(F.length(X.strip(F.col(name))) > 0).groupBy("group_id", form(name, F.col(name), config).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        pairs = own.select("group_id", F.col("v").alias("a")).join(own.select("group_id", F.col("v").alias("b")), "group_id").where("a < b")
-        least = pairs.withColumn("s", similarity(name, F.col("a"), F.col("b"), ratio)).groupBy("group_id").agg(F.min("s").alias("s"))
-        n = own.groupBy("group_id").agg(F.sum("k").alias("n"))
-        rows = n.join(least, "group_id", "left").select("group_id", F.lit(name).alias("field"), "n", F.when(F.col("n") > 1, F.coalesce("s", F.lit(1.0))).alias("similarity"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    names = [f for f in SCALARS if not config.thresholds(f).skip_agreement]
+    forms = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.length(X.strip(F.col(f))) > 0, form(f, F.col(f), config)).alias("v")) for f in names])
+    own = members.select("group_id", F.explode(forms).alias("x")).select("group_id", "x.*").where("v is not null").groupBy("group_id", "field", "v").agg(F.count(F.lit(1)).alias("k"))
+    pairs = own.select("group_id", "field", F.col("v").alias("a")).join(own.select("group_id", "field", F.col("v").alias("b")), ["group_id", "field"]).where("a < b")
+    pairs = pairs.withColumn("r", F.when(F.col("field") != "email", ratio(F.col("a"), F.col("b"))))
+    s = F.lit(None).cast("double")
+    for f in names:
+        s = F.when(F.col("field") == f, similarity(f, F.col("a"), F.col("b"), lambda *_: F.col("r"))).otherwise(s)
+    least = pairs.groupBy("group_id", "field").agg(F.min(s).alias("s"))
+    n = own.groupBy("group_id", "field").agg(F.sum("k").alias("n"))
+    return n.join(least, ["group_id", "field"], "left").select("group_id", "field", "n", F.when(F.col("n") > 1, F.coalesce("s", F.lit(1.0))).alias("similarity"))
 
 
 def percent(c: Column) -> Column:
     return F.concat(F.round(c * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
-def field_scores(golden: DataFrame, members: DataFrame, config: Confidence, trust: Reliability, as_of: Column, ratio=Z.ratio_udf) -> DataFrame:
-    """A row for each group and field: score, contributing_sources, similarity, reason."""
+def field_scores(golden: DataFrame, members: DataFrame, config: Confidence, trust: Reliability, as_of: Column, alike: DataFrame | None = None) -> DataFrame:
+    """A row for each group and field: score, contributing_sources, similarity, reason. alike: least similarities, if known."""
     stamp = F.col("source_timestamp") if "source_timestamp" in members.columns else F.lit(None).cast("timestamp")
     sure = F.coalesce("extraction_confidence", F.lit(1.0)) if "extraction_confidence" in members.columns else F.lit(1.0)
     kind = lambda f: "array" if f in LISTS else "string"
@@ -89,7 +89,7 @@ def field_scores(golden: DataFrame, members: DataFrame, config: Confidence, trus
     rows = members.select("group_id", "record_id", "source", F.explode(F.array(*[long(f) for f in FIELDS])).alias("x")).select("group_id", "record_id", "source", "x.*").where("held")
     by = rows.groupBy("group_id", "field").agg(noisy_or(F.col("w")).alias("combined"), F.count(F.lit(1)).alias("contributors"), F.transform(F.array_sort(F.collect_list(F.struct("record_id", "source"))), lambda x: x["source"]).alias("contributing_sources"))
     there = golden.select("group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("ord"), X.non_empty(F.col(f), kind(f)).alias("present")) for k, f in enumerate(FIELDS)])).alias("x")).select("group_id", "x.*")
-    alike = least_similarity(members, config, ratio).select("group_id", "field", "similarity")
+    alike = (least_similarity(members, config) if alike is None else alike).select("group_id", "field", "similarity")
     df = there.join(by, ["group_id", "field"], "left").join(alike, ["group_id", "field"], "left")
     s, n, adjust, agree = F.col("similarity"), F.col("contributors"), F.lit(None).cast("double"), F.lit("")
     for f in SCALARS:
@@ -144,7 +144,7 @@ def score(golden: DataFrame, members: DataFrame, issues: DataFrame, config: Conf
     """The report of each group: overall_score, field_scores, completeness, source_agreement, diversity_bonus,
     validation_penalty, explanations; and all_issues, the given issues with those across fields."""
     alike = least_similarity(members, config, ratio)
-    fields = field_scores(golden, members, config, trust, as_of, ratio)
+    fields = field_scores(golden, members, config, trust, as_of, alike)
     weight = X.lookup(F.col("field"), {k: str(v) for k, v in config.field_weights.items()}).cast("double")
     ordered = F.array_sort(F.collect_list(F.struct("ord", F.col("field").alias("field_name"), "score", "contributing_sources", "reason", "similarity")))
     packed = fields.groupBy("group_id").agg(F.sum(F.col("score") * F.coalesce(weight, F.lit(0.0))).alias("field_total"), F.transform(ordered, lambda x: x.dropFields("ord")).alias("field_scores"))

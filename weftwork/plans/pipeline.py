@@ -38,8 +38,8 @@ def run_records(extracted: DataFrame, config: Config | None = None, as_of: Colum
     config = config or standard()
     now = F.current_timestamp() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
     records = validate.validate(normalize.normalize(extracted, config.normalization), config.confidence.field_categories)
-    records = resolve.checkpointed(records)  # read by every later step
-    members = records.join(resolve.resolve(records, config.entity_resolution), "record_id")
+    keys = resolve.checkpointed(records.select("record_id", "name", "email"))  # all that resolution needs
+    members = resolve.checkpointed(records.join(resolve.resolve(keys, config.entity_resolution), "record_id"))  # read by every later step
     golden = merge.merge(members, config.merge_rules)
     issues = validate.combined(members)
     report = score.score(golden, members, issues, config.confidence, config.source_reliability, now)
@@ -47,7 +47,7 @@ def run_records(extracted: DataFrame, config: Config | None = None, as_of: Colum
     traced = lineage.by_group(entries) if config.projection.include_provenance else None
     profiles = project.project(golden, report, traced, issues, config.projection, config.version, now)
     shape = project.shape_issues(golden.select(*project.output_fields(config.projection, golden.columns)).schema, config.projection) if config.projection.included() else []
-    rejects = records.where(F.size("parse_errors") > 0).select("record_id", "source", "source_file", "parse_errors")
+    rejects = members.where(F.size("parse_errors") > 0).select("record_id", "source", "source_file", "parse_errors")
     return Result(members, rejects, golden, report, entries, profiles, shape, project.bounds_issues(report))
 
 

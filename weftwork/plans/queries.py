@@ -592,7 +592,7 @@ def source_agreement(spark, d):
 
 @query()
 def field_scores(spark, d):
-    members = grouped_people(spark, d)
+    members = resolve.checkpointed(grouped_people(spark, d))
     golden = merge.merge(members, C.standard().merge_rules)
     return score.field_scores(golden, members, C.Confidence(), C.standard().source_reliability, F.lit(AS_OF)).select("group_id", "field", "score", "similarity", "reason")
 

@@ -214,7 +214,18 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
 
 @register("resume_pdf")
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """A record for each file, if a PDF library is there; else error records."""
+    """A record for each file, if a PDF library is there; else error records. fields holds the targets of its links."""
+
+    def links_of(content: bytes) -> list[tuple[str, str]]:
+        """Targets of link annotations, if the library that shows them is there."""
+        try:
+            import fitz
+
+            with fitz.open(stream=content, filetype="pdf") as pdf:
+                found = [x["uri"].strip() for page in pdf for x in page.get_links() if x.get("uri")]
+        except Exception:
+            return []
+        return [("link", u) for u in dict.fromkeys(found) if u and not u.lower().startswith("mailto:")]
 
     def text_of(content: bytes) -> str:
         problems = []
@@ -239,7 +250,7 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(name: str, content: bytes) -> Iterator[dict]:
         try:
-            yield row(0, name, raw_text=text_of(content))
+            yield row(0, name, links_of(content), raw_text=text_of(content))
         except ValueError as e:
             yield row(0, name, errors=[f"PDF extraction failed: {e}"])
 
