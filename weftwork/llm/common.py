@@ -6,6 +6,7 @@ character), so a whole Arrow slice is scanned at once with numpy instead of one
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy scan covers; work arrays take about 40 times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,6 +54,14 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory back: Python workers live on, and other stages' tasks share their executor."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about limit bytes of text, or one longer text alone."""
     if not batch.num_rows:
@@ -63,6 +72,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
         yield batch.slice(at, end - at)
         at, done = end, int(size[end - 1])
+    trim()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, write_shared
+from .common import table, trim, write_shared
 
-WINDOW, END, CACHE_WORDS, BUCKET_ROWS, NNLS_ROUNDS = 2048, 1, 700_000, 50_000, 400
+WINDOW, END, CACHE_WORDS, BUCKET_ROWS, NNLS_ROUNDS = 2048, 1, 500_000, 50_000, 400
 
 # Pre-tokens of the tokenizer's own split over Latin text; anything else goes to the tokenizer whole.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -108,6 +108,7 @@ def tokenise(docs: DataFrame, path: str, end: int = END, width: int = 4, ids_byt
                     yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
                     ids, keys, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
