@@ -274,3 +274,11 @@ def test_config(tmp_path):
     for bad in (lambda: C.Rule(strategy="x"), lambda: C.Reliability({"csv": 2.0}), lambda: C.Confidence(field_weights={"name": 0.5}), lambda: C.Config(log_level="LOUD"), lambda: C.AdaptiveWeights(one_source_field=1.0)):
         with pytest.raises(C.ConfigError):
             bad()
+
+
+def test_match_reasons_use_every_part(spark, tmp_path):
+    from weftwork.plans import queries
+
+    spark.range(1001).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((r.i, r.j) for r in queries.QUERIES["match_reasons_email_all"](spark, str(tmp_path)).collect())
+    assert got == [(i, j) for i in range(1001) for j in range(i + 1, 1001) if i // 4 == j // 4]
