@@ -282,3 +282,18 @@ def test_match_reasons_use_every_part(spark, tmp_path):
     spark.range(1001).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
     got = sorted((r.i, r.j) for r in queries.QUERIES["match_reasons_email_all"](spark, str(tmp_path)).collect())
     assert got == [(i, j) for i in range(1001) for j in range(i + 1, 1001) if i // 4 == j // 4]
+
+
+def test_noisy_or_uses_every_event(spark, tmp_path):
+    from weftwork.plans import queries
+
+    spark.range(1001).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    left = [0.05, 0.30, 0.5, 0.25, 0.15]
+    got = sorted(tuple(r) for r in queries.QUERIES["noisy_or_reliability_all"](spark, str(tmp_path)).collect())
+    want = []
+    for block in range(251):
+        rest, ids = 1.0, range(4 * block, min(4 * block + 4, 1001))
+        for i in ids:
+            rest *= left[i % 5]
+        want.append((block, len(ids), pytest.approx(1 - rest, abs=1e-8)))
+    assert got == want

@@ -550,6 +550,13 @@ def noisy_or_reliability(spark, d):
     return e.groupBy("user_id").agg(F.round(score.noisy_or(score.reliability(source, C.standard().source_reliability)), 9).alias("combined"))
 
 
+@query(f"WITH m AS (SELECT event_id // 4 AS block, ['ats', 'csv', 'resume_txt', 'json', 'resume_pdf'][(event_id % 5) + 1] AS source FROM events) SELECT block, count(*) AS n, CAST(round(1 - product(CAST(1 - {_RELIABILITY_SQL} AS DOUBLE)), 9) AS DOUBLE) AS combined FROM m GROUP BY block")
+def noisy_or_reliability_all(spark, d):
+    """Over every event; a whole user's product is 1 to nine digits, so four events share a key, at any size."""
+    source = F.get(F.array(*map(F.lit, _SOURCE_LIST)), (F.col("event_id") % 5).cast("int"))
+    return table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 4).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.round(score.noisy_or(score.reliability(source, C.standard().source_reliability)), 9).alias("combined"))
+
+
 @query(
     """WITH p AS (SELECT c_custkey, (c_custkey % 101) / 100.0::DOUBLE AS s FROM customer) SELECT c_custkey, CAST(round(CASE WHEN s >= 0.95::DOUBLE THEN 0.05::DOUBLE * s WHEN s >= 0.80::DOUBLE THEN 0.05::DOUBLE * 0.95::DOUBLE * (s - 0.80::DOUBLE) / (0.95::DOUBLE - 0.80::DOUBLE) ELSE -0.10::DOUBLE * (1 - s / 0.80::DOUBLE) END, 9) AS DOUBLE) AS adjustment FROM p"""
 )
