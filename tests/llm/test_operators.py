@@ -172,6 +172,17 @@ def test_sharding(spark):
     assert (got[got["text"] != "same"].groupby("text")["shard"].nunique() > 1).sum() <= 11
 
 
+def test_whole_documents_cross_the_exchange(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    df = sharding.query(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "crc32(" in plan and plan.index("crc32(") < plan.index("Window [row_number")  # of what arrived in the shards
+    laid = sharding.lay_out(docs)
+    assert collected(laid, "doc_id", "text") == collected(docs, "doc_id", "text")
+    want = sorted(((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in collected(docs, "doc_id", "text")), key=repr)
+    assert collected(df, "doc_id", "size", "text_crc32") == want
+
+
 # 4
 
 

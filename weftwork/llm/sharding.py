@@ -7,10 +7,10 @@ boundary, until each splitter is within the tolerance. Then the rows are exchang
 equal texts that lies across a boundary is cut, so a group of any size spreads over as many shards as it
 fills; a boundary that has a group's edge within the tolerance takes that edge.
 
-Scale: each round returns at most PROBES rows for each open boundary; texts are never shuffled unless
-the caller asks for them. Slots are numbered in many buckets for each shard, whose counts are summed
-up first, so no task holds a shard. The keyed rows are checkpointed because row hashes must not
-change when a task runs again.
+Scale: each round returns at most PROBES rows for each open boundary and reads the keys alone; the rows, texts
+included, cross one exchange. Slots are numbered in many buckets for each shard, whose counts are summed
+up first, so no task holds a shard. The keyed rows are written to the shared folder, as Parquet, because row hashes
+must not change when a task runs again.
 
 Law: bytes. Defined results: a null text has size 8 and crc32 0; repeated rows get slots of their own;
 an empty table gives no rows; extra columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import checkpoint, table
+from .common import table, write_shared
 
 SHARDS, TOLERANCE, PROBES, MAX_ROUNDS, BUCKET_ROWS = 24, 0.002, 1024, 16, 100_000
 _LOW = -(1 << 63)
@@ -107,7 +107,7 @@ def shard(rows: DataFrame, *, size, group, row, shards: int = SHARDS, tolerance:
     """rows with shard and slot added. size: bytes of a row; group: equal for rows to keep side by side; row: tells rows apart as far as it can."""
     inner = [f"c{i}" for i in range(len(rows.columns))]  # the caller's names can't clash with ours
     keyed = rows.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(rows.columns, inner)], size.cast("long").alias("size"), F.xxhash64(group).alias("g"), F.xxhash64(row, F.monotonically_increasing_id()).alias("r"))
-    keyed = checkpoint(keyed)
+    keyed = write_shared(keyed, "sharding-keyed")
     cuts = splitters(keyed, shards, tolerance)
     place = F.lit(0)
     for g, r in cuts:
@@ -123,8 +123,14 @@ def shard(rows: DataFrame, *, size, group, row, shards: int = SHARDS, tolerance:
     return numbered.join(small, ["shard", "bucket"]).select(*[F.col(i).alias(c) for i, c in zip(inner, rows.columns)], "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
+def lay_out(docs: DataFrame) -> DataFrame:
+    """Whole documents (doc_id, text) in their shards, with shard and slot."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
+    return shard(docs.select("doc_id", "text"), size=size, group=F.col("text"), row=F.col("doc_id"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64("text").alias("text_key"))
-    done = shard(rows, size=F.col("size"), group=F.col("text_key"), row=F.col("doc_id"))
-    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # size and text_crc32 come from the texts that arrived in the shards
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    return lay_out(table(spark, sf_dir, "documents")).select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
