@@ -451,3 +451,23 @@ def test_warc_damage_is_found(spark, tmp_path):
     shutil.move(f"{path}/other", f"{path}/payloads")
     with pytest.raises(Exception, match="no payload with digest"):
         warc.load(spark, path).collect()
+
+
+def test_warc_revisits_are_rebuilt(spark, tmp_path):
+    path = str(tmp_path / "c")
+    long = b"<p>" + b"z" * 150
+    warc.store(spark.createDataFrame([(1, "u", bytearray(long)), (2, "v", bytearray(long)), (3, "w", bytearray(b"short"))], "record_id long, uri string, payload binary"), path)
+    got = {r.record_id: (r.record_type, bytes(r.payload)) for r in warc.load(spark, path, rebuild=True).collect()}
+    assert got == {1: ("response", long), 2: ("revisit", long), 3: ("response", b"short")}
+    assert {r.record_id: r.payload for r in warc.load(spark, path).collect()}[2] is None
+
+
+@pytest.mark.parametrize("rebuild", [False, True])
+def test_warc_revisit_without_original_is_found(spark, tmp_path, rebuild):
+    path = str(tmp_path / "d")
+    warc.store(spark.createDataFrame([(1, "u", bytearray(b"x" * 200)), (2, "v", bytearray(b"x" * 200))], "record_id long, uri string, payload binary"), path)
+    headers = warc.parsed(spark.read.parquet(f"{path}/headers")).where("record_type = 'revisit'").select("digest", "header")
+    headers.write.parquet(f"{path}/lost/headers")
+    spark.read.parquet(f"{path}/payloads").limit(0).write.parquet(f"{path}/lost/payloads")
+    with pytest.raises(Exception, match="no payload with digest"):
+        warc.load(spark, f"{path}/lost", rebuild=rebuild).collect()

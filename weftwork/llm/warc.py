@@ -5,8 +5,8 @@ of its bytes, in ``payloads``; the header blocks go to ``headers``. Records are
 digest, which is computed anew from the stored bytes, so a damaged payload never joins.
 
 Scale: payloads are grouped by digest with partial aggregation, so each map task sends a payload once
-however many copies it has; all other shuffles are narrow but for the one that rebuilds responses, where
-each payload is needed once. Both tables go to the shared folder.
+however many copies it has; all other shuffles are narrow but for the one that rebuilds records, where
+each payload is sent once. Both tables go to the shared folder.
 
 Defined results: a null html is an empty payload; rows that repeat the smallest page_id of a payload are
 all responses; null page_ids count as larger than others and refer as usual; extra columns are ignored.
@@ -59,20 +59,21 @@ def parsed(headers: DataFrame) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The archive's records: header fields, payload (null in revisits) and the exact record as bytes.
+def load(spark: SparkSession, path: str, *, rebuild: bool = False) -> DataFrame:
+    """The archive's records: header fields, payload (null in revisits, the original's with rebuild) and the exact record as bytes.
 
-    A response whose stored bytes do not have the digest of its header fails the read."""
+    A record without stored bytes of the digest in its header fails the read."""
     fields = parsed(spark.read.parquet(f"{path}/headers"))
-    kept = spark.read.parquet(f"{path}/payloads").select(F.sha2("payload", 256).alias("digest"), "payload")
-    back = fields.where("record_type = 'response'").join(kept, "digest", "left").withColumn("payload", F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no payload with digest "), F.col("digest"))).cast("binary")))
-    again = fields.where("record_type = 'revisit'").join(kept.select("digest"), "digest", "left_semi").withColumn("payload", F.lit(None).cast("binary"))
+    kept = spark.read.parquet(f"{path}/payloads").select(F.sha2("payload", 256).alias("digest"), F.col("payload").alias("stored"))
+    stored = F.coalesce("stored", F.raise_error(F.concat(F.lit("no payload with digest "), F.col("digest"))).cast("binary"))
+    whole = fields.join(kept, "digest", "left").withColumn("stored", stored)
+    own = F.when((F.col("record_type") == "response") | F.col("stored").isNull(), F.col("stored"))  # looks at every record's bytes
     end = F.lit((CRLF + CRLF).encode())
-    return back.unionByName(again).withColumn("record", F.concat("header", F.coalesce("payload", F.lit(b"")), end))
+    return whole.select(*fields.columns, (F.col("stored") if rebuild else own).alias("payload"), F.concat("header", F.coalesce(own, F.lit(b"")), end).alias("record"))
 
 
 def export(spark: SparkSession, path: str, target: str) -> None:
-    """Rebuild the records as WARC files of UTF-8 text below target."""
+    """Rebuild the records as WARC files of UTF-8 text below target; revisits are header blocks that refer to their original."""
     load(spark, path).select(F.concat("header", F.coalesce("payload", F.lit(b""))).cast("string").alias("value")).write.option("lineSep", CRLF + CRLF).text(target)
 
 
@@ -80,9 +81,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     pages = table(spark, sf_dir, "pages")
     store(pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")), path)
-    return load(spark, path).select(
-        F.col("record_id").alias("page_id"),
-        F.when(F.col("record_type") == "revisit", F.col("n")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+    return load(spark, path, rebuild=True).select(
+        F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), "record_type", "refers_to",
     )
 
