@@ -154,6 +154,30 @@ def test_classifiers_take_any_rows(spark, docs):
     assert [r.score for r in alone] == [1.0]
 
 
+def test_fit_takes_all_lines_of_long_texts(spark, monkeypatch):
+    lengths = [3, 1000, 401, 7, 2500, 12]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][: len(lengths)]
+    text = lambda n: "\n".join("good words here." if k % 2 else "### @@@ ###" for k in range(n))
+    docs = spark.createDataFrame([(i, text(n)) for i, n in zip(ids, lengths)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda *a: seen.append(a))
+    quality_crf.fit(docs, labels)
+    x, label, doc, size, doc_label = seen[0]
+    assert sorted(np.bincount(doc)) == sorted(lengths) and len(x) == len(size) == sum(lengths)
+    kind = x[:, 0]  # lines of the two kinds take turns, as in the texts
+    assert all((kind[1:] != kind[:-1])[doc[1:] == doc[:-1]])
+
+
+def test_messages_in_blocks_are_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    doc = np.repeat(np.arange(40), rng.integers(1, 60, 40))
+    u, a = rng.normal(0, 1, len(doc)), rng.normal(0, 1, (2, 2))
+    want = quality_crf.forward_backward(u, a, doc)
+    monkeypatch.setattr(quality_crf, "BLOCK_LINES", 50)
+    assert all(np.allclose(x, y) for x, y in zip(quality_crf.forward_backward(u, a, doc), want))
+
+
 # 3
 
 

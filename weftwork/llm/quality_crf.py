@@ -13,7 +13,8 @@ Labels are learnt from at most ``max_train`` labelled rows outside the held-out
 of doc_id); a line starts with its document's label, and lines of bad documents that the first fit takes
 for good ones are relabelled before the second. Labels, lang, source and doc_id are never inputs.
 
-Scale: one narrow pass over whole texts, no shuffle; sample ids (bounded) and weights are broadcast.
+Scale: one narrow pass over whole texts, no shuffle; sample ids (bounded) and weights are broadcast. The
+fit takes all lines of its texts to the driver, some hundred bytes each; messages are kept for a block of texts.
 
 Defined results: texts without a non-empty line get the share of good documents in the sample (1 without
 a sample); repeated rows are rows of their own; null doc_ids are not held out; extra columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import LINES, SPACED, Scan, flat, slices, sums, table
 from .quality_rules import class_counts, repeated_words
 
-MAX_TRAIN, FOLDS, THRESHOLD, MAX_LINES = 4000, 5, 0.3, 400
+MAX_TRAIN, FOLDS, THRESHOLD, BLOCK_LINES = 4000, 5, 0.3, 1 << 18
 N_OWN = 11
 
 
@@ -87,6 +88,10 @@ def forward_backward(u: np.ndarray, a: np.ndarray, doc: np.ndarray) -> tuple[np.
     start = np.ones(n, bool)
     start[1:] = doc[1:] != doc[:-1]
     edge = np.append(np.flatnonzero(start), n)
+    if n > BLOCK_LINES and len(edge) > 2:  # texts do not touch each other
+        cut = min(max(int(np.searchsorted(edge, n // 2)), 1), len(edge) - 2)
+        parts = [forward_backward(u[s], a, doc[s]) for s in (slice(0, edge[cut]), slice(edge[cut], n))]
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
     steps = int(np.diff(edge).max() - 1).bit_length() + 1
     p = 1 / (1 + np.exp(-np.clip(u, -30, 30)))
     psi = np.maximum(np.column_stack([1 - p, p]), 1e-12)
@@ -180,8 +185,8 @@ def fold(key) -> F.Column:
     return F.crc32(key.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> Model:
-    """From at most max_train labelled rows; of a training text longer than max_lines lines, max_lines at equal steps are taken."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Model:
+    """From at most max_train labelled rows, with all lines of each."""
     own = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)  # a documented bound, so it can be broadcast
 
@@ -191,8 +196,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, max_l
                 x, doc, size = line_features(part.column("text"))
                 for d, q in enumerate(part.column("quality").to_pylist()):
                     rows = np.flatnonzero(doc == d)
-                    if len(rows) > max_lines:
-                        rows = rows[np.linspace(0, len(rows) - 1, max_lines).astype(int)]
                     if len(rows):
                         yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([x[rows].astype("<f4").tobytes()]), pa.array([size[rows].astype("<i8").tobytes()])], names=["quality", "x", "size"])
 
