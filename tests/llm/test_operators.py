@@ -377,6 +377,24 @@ def test_one_of_each(spark, docs):
     assert set(ids) == want
 
 
+def test_jaccard_without_doc_ids(spark):
+    rng = random.Random(13)
+    w = [words(rng, 80) for _ in range(4)]
+    near = lambda k, n: " ".join([*w[k][:n], "changed", *w[k][n + 1 :]])
+    full = [" ".join(x) for x in w]
+    rows = [(None, full[0], "a"), (None, full[0], "b"), (None, near(0, 0), "c")]  # no doc_id in the group
+    # two named texts, too far from each other, linked through one without doc_id
+    rows += [(5, " ".join(["x1", "x2", "x3", "x4", "x5", *w[1][5:]]), "d"), (None, full[1], "e"), (9, " ".join([*w[1][:75], "y1", "y2", "y3", "y4", "y5"]), "f")]
+    rows += [(None, full[2], "g"), (7, full[2], "h"), (3, full[3], "i"), (None, "", "j"), (None, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    got = collected(jaccard.join_groups(docs), "doc_id", "n_shingles", "component_id")
+    n = [len({tuple(x[k : k + 5]) for k in range(len(x) - 4)}) for x in w]
+    want = [(None, n[0], None)] * 3 + [(5, n[1], 5), (None, n[1], 5), (9, n[1], 5), (None, n[2], 7), (7, n[2], 7), (3, n[3], 3), (None, 0, None), (None, 0, None)]
+    assert got == sorted(want, key=repr)
+    marks = sorted(r.mark for r in jaccard.one_of_each(docs).collect())
+    assert [m for m in marks if m not in "abc"] == ["d", "h", "i", "j", "k"] and sum(m in "abc" for m in marks) == 1
+
+
 # 8
 
 

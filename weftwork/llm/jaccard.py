@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import SPACED_FOLD, Scan, flat, gram_hash, mix, slices, table, write_shared
@@ -167,8 +168,11 @@ def _decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str)
     """Those pairs that are similar, by exact intersection."""
     pairs = write_shared(pairs, f"{label}-pairs")
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = classes.join(ends, "fp", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = write_shared(_arrays(docs.join(wanted, "doc_id", "left_semi")), f"{label}-sets")
+    wanted = classes.join(ends, "fp", "left_semi")
+    named = _arrays(docs.join(wanted.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+    # a class of rows without doc_id is fetched by its key
+    nameless = _arrays(docs.where("doc_id is null")).join(wanted.where("rep is null").select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    sets = write_shared(named.union(nameless), f"{label}-sets")
 
     def run(batches):
         for batch in batches:
@@ -304,8 +308,8 @@ def folded_rows(bits: list[bytes], words: np.ndarray, w: int) -> tuple[np.ndarra
     return np.array([folded(np.frombuffer(bits[x], np.uint64), w) for x in use.tolist()]), place
 
 
-def join_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of docs (doc_id, text)."""
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, fp) of docs (doc_id, text), and for each fp its group's label and component_id, null if no row has a doc_id."""
     docs = docs.select("doc_id", "text")
     profile = write_shared(_profile(docs), "jaccard-profile")
     found = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("texts").alias("texts")).toPandas()  # at most 2**18 rows
@@ -327,18 +331,44 @@ def join_groups(docs: DataFrame) -> DataFrame:
     labels = contracted(labels, _decided(rest, classes, docs, "jaccard-rest"), "jaccard-rest")
     named = classes.select("fp", "rep").join(labels.select(F.col("node").alias("fp"), "label"), "fp")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = write_shared(named.join(least, "label").select("fp", "component_id"), "jaccard-groups")
-    every = classes.select("fp", "rep").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    grouped = full.select("doc_id", "n", "fp").join(every, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = write_shared(named.join(least, "label").select("fp", "label", "component_id"), "jaccard-groups")
+    every = classes.select("fp", "rep").join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id"))
+    return own.select("doc_id", "n", "fp"), every
+
+
+def _named(own: DataFrame, every: DataFrame) -> DataFrame:
+    grouped = own.where("fp is not null").join(every, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return grouped.union(own.where("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def join_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of docs (doc_id, text)."""
+    return _named(*_groups(docs))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of each text's set as the last column, __fp."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fp = [key_of(s) if len(s) else None for s in shingles(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp, pa.int64())], names=[*part.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with the document of the least doc_id of each group, once; rows without doc_id stay."""
-    groups = join_groups(docs)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
+    """docs (doc_id, text, ...) with the document of the least doc_id of each group, once.
+
+    A group without any doc_id keeps one row, that of the least text; rows without doc_id and without words are groups of their own."""
+    own, every = _groups(docs)
+    firsts = _named(own, every).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    nameless = _keyed(docs.where("doc_id is null"))
+    alone = every.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("label").alias("__group"))
+    one = nameless.join(alone, "__fp").groupBy("__group").agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("x")).select("x.*")
+    return kept.select(*docs.columns).union(one).union(nameless.where("__fp is null").drop("__fp"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
