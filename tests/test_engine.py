@@ -297,3 +297,22 @@ def test_noisy_or_uses_every_event(spark, tmp_path):
             rest *= left[i % 5]
         want.append((block, len(ids), pytest.approx(1 - rest, abs=1e-8)))
     assert got == want
+
+
+def test_profiles_link_misspelled_names(spark):
+    from weftwork.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    rows = queries.named_people(spark, d).select("record_id", "email", "name").collect()
+    want, linked = set(), 0
+    for person in range(500):
+        own = [r for r in rows if r.email.lower() == f"user{person}@example.com"]
+        typo = [r.record_id for r in rows if r.email.startswith("typo") and r.record_id // 4 % 500 == person]
+        if any(r.name for r in own) and typo:
+            linked += 1
+            want.add(min([r.record_id for r in own] + typo))
+        else:
+            want |= {min(g) for g in ([r.record_id for r in own], typo) if g}
+    assert linked
+    assert {r.group_id for r in queries.entity_profiles(spark, d).select("group_id").collect()} == want
+    assert {r.group_id for r in queries.field_scores(spark, d).select("group_id").distinct().collect()} == want
