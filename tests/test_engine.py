@@ -96,15 +96,35 @@ def test_merge(spark):
     assert plain.skills == ["go", "Rust"]
 
 
+def same(kind, a, b):
+    return bool(merge.alike(kind, {f: [a[f]] for f in merge.KINDS[kind][0]}, b)[0])
+
+
 def test_entries_that_are_one():
     job = lambda company, title: JOB | {"company": company, "title": title}
-    assert merge.same_job(job("Infosys", "AI/ML Intern"), job("Infosys", "AI/ML Intern (Virtual Internship 6.0)"))
-    assert merge.same_job(job("Engineer", "Acme"), job("Acme", "Engineer"))
-    assert not merge.same_job(job("Acme", "Cook"), job("Acme", "Engineer"))
-    assert not merge.same_job(job(None, None), job("Acme", "Cook"))
-    school = lambda i, d: {"institution": i, "degree": d}
-    assert merge.same_degree(school("MIT", "B.E."), school("MIT", "Bachelor of Engineering in CS"))
-    assert not merge.same_degree(school("MIT", None), school("Yale", None))
+    for a, b, want in [
+        (job("Infosys", "AI/ML Intern"), job("Infosys", "AI/ML Intern (Virtual Internship 6.0)"), True),
+        (job("Engineer", "Acme"), job("Acme", "Engineer"), True),  # the other way round
+        (job("Acme", "Cook"), job("Acme", "Engineer"), False),
+        (job("Acme", None), job("Acme", "Engineer"), True),
+        (job(None, "Cook"), job(None, "Cook"), True), (job(None, "Cook"), job("Acme", "Cook"), True),
+        (job(None, None), job("Acme", "Cook"), False), (job("Acme", None), job(None, "Cook"), False),
+        (job("Company 1", "Cook"), job("Company 2", "Cook"), True), (job("Company 1", "Cook"), job("Company 2", "Driver"), False),
+    ]:
+        assert same("experience", a, b) == same("experience", b, a) == want, (a, b)
+    school = lambda i, d: {"institution": i, "form": d}
+    be = "bachelor of engineering"
+    for a, b, want in [(school("MIT", be), school("MIT", be), True), (school("MIT", None), school("Yale", None), False), (school("MIT", be), school("MIT", "doctor of philosophy"), False), (school(None, be), school("MIT", be), True), (school(None, None), school("MIT", be), False)]:
+        assert same("education", a, b) == same("education", b, a) == want, (a, b)
+
+
+def test_fold_of_schools(spark):
+    entry = lambda i, d, gpa=None: {"institution": i, "degree": d, "field_of_study": None, "duration": None, "gpa": gpa}
+    xs = [entry("MIT", "B.E."), entry("MIT", "Bachelor of Engineering in CS", 0.0), entry("Yale", "B.E."), entry("MIT", "B.E.", 7.0), entry("MIT", "PhD")]
+    df = records(spark, {"education": xs}, {}, {"education": []}).withColumn("education", F.when(F.col("record_id") != 1, F.col("education")))
+    out = [r.x for r in df.orderBy("record_id").select(merge.fold_education(F.col("education")).alias("x")).collect()]
+    assert [(x.institution, x.degree, x.gpa) for x in out[0]] == [("MIT", "Bachelor of Engineering in CS", 0.0), ("Yale", "B.E.", None), ("MIT", "PhD", None)]
+    assert out[1] is None and out[2] == []
 
 
 # Validation, scores, lineage, projection
@@ -196,8 +216,28 @@ def test_json(spark, tmp_path):
     assert a.skills == ["English", "Hindi"] and b.skills == ["SQL", "Python"]
     errors = lambda c: readers.read(spark, "json", write(tmp_path, "e.json", c)).first().parse_errors[0]
     assert errors("{\n bad").startswith("JSON decode error at line 2") and errors("5") == "Unexpected JSON root type: int" and "BOM" in errors("﻿{}")
-    lines = readers.read_json_lines(spark, write(tmp_path, "l.jsonl", '{"name": "A"}\nbroken\n')).orderBy("row_ord").collect()
-    assert [bool(r.parse_errors) for r in lines] == [False, True]
+    lines = extract.extract(readers.read(spark, "json_lines", write(tmp_path, "l.jsonl", '{"name": "A"}\nbroken\n[1, 2]\n7\n{"a": \n'))).orderBy("record_id").collect()
+    assert [(r.name, bool(r.parse_errors), r.source) for r in lines] == [("A", False, "json")] + [(None, True, "json")] * 4
+
+
+def test_walk_never_raises():
+    for text, said in [(None, None), ("", None), ("{}", None), ("{\n bad", "JSON decode error at line 2"), ("[1, 2]", "Unexpected JSON root type: list"), ("7", "Unexpected JSON root type: int"), ("null", "Unexpected JSON root type: NoneType"), ("[" * 100_000, "JSON decode error")]:
+        got = extract.walk(text)
+        assert got["name"] is None and (got["parse_errors"][0].startswith(said) if said else got["parse_errors"] == [])
+
+
+def test_numbers_keep_the_order_of_inputs(spark):
+    rows = readers._error_rows(spark, "f", "e")
+    many = rows.crossJoin(spark.range(2000).toDF("n")).drop("n").repartition(300)
+    ids = [[r.record_id for r in readers._raw(many, "csv", k).select("record_id").collect()] for k in (0, 1, 2)]
+    assert len({i for x in ids for i in x}) == 6000 and max(ids[0]) < min(ids[1]) and max(ids[1]) < min(ids[2])
+
+
+def test_empty_text_files_have_numbers_of_their_own(spark, tmp_path):
+    for name, content in (("a.txt", ""), ("b.txt", ""), ("c.txt", "Bob")):
+        write(tmp_path, name, content)
+    got = readers.read(spark, "resume_txt", str(tmp_path / "*.txt")).collect()
+    assert len(got) == 3 == len({r.record_id for r in got}) and sum(bool(r.parse_errors) for r in got) == 2
 
 
 def test_other_sources(spark, tmp_path):
@@ -280,7 +320,7 @@ def test_match_reasons_use_every_part(spark, tmp_path):
     from weftwork.plans import queries
 
     spark.range(1001).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
-    got = sorted((r.i, r.j) for r in queries.QUERIES["match_reasons_email_all"](spark, str(tmp_path)).collect())
+    got = sorted((r.i, r.j) for r in queries.QUERIES["match_reasons_email"](spark, str(tmp_path)).collect())
     assert got == [(i, j) for i in range(1001) for j in range(i + 1, 1001) if i // 4 == j // 4]
 
 
@@ -289,7 +329,7 @@ def test_noisy_or_uses_every_event(spark, tmp_path):
 
     spark.range(1001).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
     left = [0.05, 0.30, 0.5, 0.25, 0.15]
-    got = sorted(tuple(r) for r in queries.QUERIES["noisy_or_reliability_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["noisy_or_reliability"](spark, str(tmp_path)).collect())
     want = []
     for block in range(251):
         rest, ids = 1.0, range(4 * block, min(4 * block + 4, 1001))
@@ -303,7 +343,7 @@ def test_profiles_link_misspelled_names(spark):
     from weftwork.plans import queries
 
     d = "/root/testdata/sf0.001"
-    rows = queries.named_people(spark, d).select("record_id", "email", "name").collect()
+    rows = queries.people(spark, d).select("record_id", "email", "name").collect()
     want, linked = set(), 0
     for person in range(500):
         own = [r for r in rows if r.email.lower() == f"user{person}@example.com"]

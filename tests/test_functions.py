@@ -162,3 +162,12 @@ def test_skill_sections(spark):
     read = lambda c: resume.skills(resume.section(resume.sections(c), "skills"), c)
     text = "Experience\nx\nTechnical Skills and Coursework\nLanguages: Python, Go / cpp\n• Rust; x | Kotlin\nFrameworks\nProjects\nFlask"
     assert values(spark, read, [text, "Skills\noracle, Go, A1, B2, C3"]) == [["Python", "Go", "C++", "Rust", "Kotlin"], ["racle", "Go", "A1", "B2", "C3"]]
+
+
+def test_year_month_equals_the_layouts(spark):
+    """Against Spark's own parser, layout by layout, on capitalised text."""
+    layouts = ["yyyy-M", "yyyy-M-d", "yyyy/M", "yyyy/M/d", "M/yyyy", "M-yyyy", "MMM yyyy", "MMMM yyyy", "M/d/yyyy", "M-d-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
+    texts = ["2020-05", "2020-5", "2020-13", "2020-00", "2020/05", "2020/5/7", "2020-02-30", "2020-02-29", "2021/02-03", "2021-2/3", "5/2020", "05-2020", "13/2020", "May 2020", "Mai 2020", "June 2020", "Jun 2020", "Sep 2020", "Septe 2020", "2/29/2021", "2/28/2021", "12-31-1999", "31-12-1999", "7 May 2020", "07 June 2020", "31 Jun 2020", "May 7 2020", "May 2020 7", "December 31 2020", "2020", "", "x", "20-05-2020", "2020-05-07T00", "99 May 2020", "May 99 2020", "0 May 2020", "1/1/0999"]
+    read = F.coalesce(*[F.date_format(F.try_to_timestamp("t", F.lit(x)), "yyyy-MM") for x in layouts])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.year_month(F.col("t")).alias("got"), read.alias("want")).collect()
+    assert [(r.t, r.got) for r in rows] == [(r.t, r.want) for r in rows]

@@ -1,4 +1,4 @@
-"""Command line: weftwork.cli --csv FILE --json FILE --pdf FILE --txt FILE [-o OUT] [-c CONFIG]."""
+"""Command line: weftwork.cli --csv FILE --json FILE --pdf FILE --txt FILE [-o OUT] [-c CONFIG]; --csv-large and --json-lines for large files."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ VERSION = "1.0.0"
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftwork", description="Golden records from CSV, JSON, PDF and text files.")
-    for name in ("csv", "json", "pdf", "txt"):
+    for name in ("csv", "csv-large", "json", "json-lines", "pdf", "txt"):
         p.add_argument(f"--{name}", action="append", default=[], metavar="FILE", help="may be given more than once")
     p.add_argument("-o", "--output", metavar="FILE", help="a JSON array; with --lines a folder of JSON lines")
     p.add_argument("--lines", action="store_true", help="write JSON lines in parallel")
@@ -22,8 +22,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def inputs_of(args: argparse.Namespace) -> list[tuple[str, str]]:
-    """In the order csv, json, pdf, txt, whatever the order of the flags."""
-    kinds = (("csv", args.csv), ("json", args.json), ("resume_pdf", args.pdf), ("resume_txt", args.txt))
+    """In the order csv, json, pdf, txt, each kind of large file after its small one, whatever the order of the flags."""
+    kinds = (("csv", args.csv), ("csv_large", args.csv_large), ("json", args.json), ("json_lines", args.json_lines), ("resume_pdf", args.pdf), ("resume_txt", args.txt))
     return [(source, path) for source, paths in kinds for path in paths]
 
 

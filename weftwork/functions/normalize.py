@@ -59,8 +59,21 @@ def phone(c: Column, region: str = "IN") -> Column:
     return F.when(F.length(c) > 0, F.when(F.length(n) < 7, text).when(international & written, F.concat(F.lit("+"), n)).when(written, F.coalesce(local, text)).otherwise(text)).otherwise(c)
 
 
-#: Layouts that are read in the JVM; the month comes first where a date could be read in two ways.
-DATE_LAYOUTS = ["yyyy-M", "yyyy-M-d", "yyyy/M", "yyyy/M/d", "M/yyyy", "M-yyyy", "MMM yyyy", "MMMM yyyy", "M/d/yyyy", "M-d-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
+_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+MONTH_NUMBERS = {name[:size]: str(k) for k, name in enumerate(_MONTHS, 1) for size in (3, len(name))}
+
+
+def year_month(c: Column) -> Column:
+    """YYYY-MM of the layouts that are read in the JVM, null for others: the text's shape says where year, month and
+    day stand, and one cast checks them. The month comes first where a date could be read in two ways."""
+    month = lookup(F.regexp_extract(c, "[A-Z][a-z]+", 0), MONTH_NUMBERS)
+    day, year = F.regexp_extract(c, r"\b(\d{1,2})\b", 1), F.regexp_extract(c, r"\d{4}", 0)
+    iso = F.when(c.rlike(r"^\d{4}[-/]\d{1,2}$"), F.concat(F.replace(c, F.lit("/"), F.lit("-")), F.lit("-1")))
+    for shape, order in ((r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4"), (r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"), (r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$", "$4-$1-$3")):
+        iso = iso.when(c.rlike(shape), F.regexp_replace(c, shape, order))
+    iso = iso.when(c.rlike(r"^[A-Z][a-z]+ \d{4}$"), F.concat(year, F.lit("-"), month, F.lit("-1")))
+    iso = iso.when(c.rlike(r"^(\d{1,2} [A-Z][a-z]+|[A-Z][a-z]+ \d{1,2}) \d{4}$"), F.concat(year, F.lit("-"), month, F.lit("-"), day))
+    return F.substring(iso.try_cast("date").cast("string"), 1, 7)
 
 
 @arrow("string")
@@ -82,7 +95,7 @@ def date(c: Column, other_layouts: bool = True) -> Column:
     """YYYY or YYYY-MM; null for ongoing; unreadable dates stripped. Layouts not listed are read from Arrow batches."""
     text = strip(c)
     plain = F.regexp_replace(F.regexp_replace(F.initcap(F.regexp_replace(text, ",", " ")), r"\bSept\b", "Sep"), r"\s+", " ")
-    read = F.coalesce(*[F.date_format(F.try_to_timestamp(plain, F.lit(layout)), "yyyy-MM") for layout in DATE_LAYOUTS])
+    read = year_month(plain)
     other = _other_date(F.when(read.isNull() & text.rlike(r"\d"), text)) if other_layouts else F.lit(None).cast("string")
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, c).when(found(text, rf"^(?:{V.PRESENT})$"), F.lit(None).cast("string")).when(text.rlike(r"^\d{4}$"), text).otherwise(F.coalesce(read, other, text))
 

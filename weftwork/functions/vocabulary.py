@@ -2,8 +2,6 @@
 
 # They must equal these for right results.
 
-SOURCES = ["csv", "json", "resume_pdf", "resume_txt", "linkedin", "github", "ats", "unknown"]
-
 SCALARS = ["name", "email", "phone", "location", "summary"]
 LISTS = ["skills", "experience", "education", "links"]
 

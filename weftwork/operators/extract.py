@@ -56,10 +56,19 @@ def extract(raw: DataFrame) -> DataFrame:
 # CSV
 
 
-def _value(names: list[str]) -> Column:
-    """The first value, in column order, of columns with one of these names."""
-    own = F.filter("fields", lambda f: X.key(f["key"]).isin(*names) & (F.length(X.strip(f["value"])) > 0))
-    return X.strip(F.get(own, F.lit(0))["value"])
+#: What a column of a CSV file stands for, by its compared name; no name stands for two things.
+CSV_KINDS = {name: kind for kind, names in V.CSV_COLUMNS.items() for name in names}
+
+
+def csv_cells() -> Column:
+    """Kind of column to its first value, in column order: every name is compared once for each row."""
+    cells = F.transform("fields", lambda f: F.struct(X.lookup(X.key(f["key"]), CSV_KINDS).alias("key"), X.strip(f["value"]).alias("value")))
+    full = F.filter(cells, lambda c: c["key"].isNotNull() & (F.length(c["value"]) > 0))
+    return F.map_from_entries(X.first_by(full, lambda c: c["key"]))
+
+
+def _value(kind: str) -> Column:
+    return F.col("cells")[kind]
 
 
 def _blob() -> Column:
@@ -67,7 +76,7 @@ def _blob() -> Column:
 
 
 def csv_experience() -> Column:
-    v = {k: _value(V.CSV_COLUMNS[k]) for k in ("company", "title", "exp_start", "exp_end", "description", "exp_location")}
+    v = {k: _value(k) for k in ("company", "title", "exp_start", "exp_end", "description", "exp_location")}
     start, end = v["exp_start"], v["exp_end"]
     duration = F.when(F.coalesce(start, end).isNotNull(), F.struct(start.alias("start"), end.alias("end"), (start.isNotNull() & end.isNull()).alias("is_current")).cast(DURATION))
     entry = F.struct(v["company"].alias("company"), v["title"].alias("title"), duration.alias("duration"), v["description"].alias("description"), v["exp_location"].alias("location")).cast(EXPERIENCE)
@@ -79,7 +88,7 @@ def gpa(c: Column) -> Column:
 
 
 def csv_education() -> Column:
-    v = {k: _value(V.CSV_COLUMNS[k]) for k in ("institution", "degree", "field", "gpa", "edu_start", "edu_end")}
+    v = {k: _value(k) for k in ("institution", "degree", "field", "gpa", "edu_start", "edu_end")}
     duration = F.when(F.coalesce(v["edu_start"], v["edu_end"]).isNotNull(), F.struct(v["edu_start"].alias("start"), v["edu_end"].alias("end"), F.lit(False).alias("is_current")).cast(DURATION))
     entry = F.struct(v["institution"].alias("institution"), v["degree"].alias("degree"), v["field"].alias("field_of_study"), duration.alias("duration"), gpa(v["gpa"]).alias("gpa")).cast(EDUCATION)
     return F.when(F.coalesce(v["institution"], v["degree"], v["field"]).isNotNull(), F.array(entry)).otherwise(_blank("education"))
@@ -122,7 +131,7 @@ def csv_extra() -> Column:
 
 @register("csv")
 def extract_csv(raw: DataFrame) -> DataFrame:
-    df = raw.withColumns({"known": X.known_fields(F.col("fields")), "blob": _blob()})
+    df = raw.withColumns({"known": X.known_fields(F.col("fields")), "blob": _blob(), "cells": csv_cells()})
     known = lambda k: F.col("known")[k]
     values = {f: F.nullif(known(f), F.lit("")) for f in SCALARS}
     values |= {
@@ -211,16 +220,22 @@ def _list_of(data: dict, name: str) -> list[dict]:
     return [x for x in found if isinstance(x, dict)]
 
 
+#: Flags that say that a job goes on, and what they say.
+CURRENT_FLAGS, YES = ("is_current", "current", "currently_working"), {"true", "yes", "1", "current"}
+
+
+def _span(start: str | None, end: str | None, goes_on: bool) -> dict | None:
+    """A duration: its end is none if it is a word for the present; without any end a job that has begun goes on."""
+    ongoing_end = end is not None and re.fullmatch(V.PRESENT, end, re.I) is not None
+    last = None if ongoing_end else end
+    return {"start": start, "end": last, "is_current": goes_on or not end or ongoing_end} if start or last else None
+
+
 def _json_experience(item: dict) -> dict:
-    start, end = _pick(item, "exp_start"), _pick(item, "exp_end")
-    flag = plain(item.get("is_current") or item.get("current") or item.get("currently_working"))
-    now = bool(flag) and flag.lower() in ("true", "yes", "1", "current")
-    if end and re.fullmatch(V.PRESENT, end, re.I):
-        now, end = True, None
-    elif not end and start:
-        now = True
-    duration = {"start": start, "end": end, "is_current": now} if start or end else None
-    return {"company": _pick(item, "company"), "title": _pick(item, "title"), "duration": duration, "description": _pick(item, "description"), "location": plain(item.get("location"))}
+    said = next((plain(item[k]) for k in CURRENT_FLAGS if item.get(k)), None) or ""
+    picked = {name: _pick(item, name) for name in ("company", "title", "description", "exp_start", "exp_end")}
+    duration = _span(picked.pop("exp_start"), picked.pop("exp_end"), said.lower() in YES)
+    return picked | {"duration": duration, "location": plain(item.get("location"))}
 
 
 def _json_gpa(item: dict) -> float | None:
@@ -298,15 +313,21 @@ JSON_TAKEN = {"name", "email", "phone", "location", "summary", "skills", "experi
 
 
 def walk(text: str | None) -> dict:
-    """What a JSON record holds."""
-    raw = json.loads(text) if text else {}
+    """What a JSON record holds; of text that is no object nothing, and parse_errors says why."""
+    raw, errors = {}, []
+    try:
+        raw = json.loads(text) if text else {}
+    except (ValueError, RecursionError) as e:
+        errors = [f"JSON decode error at line {e.lineno}: {e.msg}" if isinstance(e, json.JSONDecodeError) else f"JSON decode error: {e}"]
+    if not isinstance(raw, dict):
+        raw, errors = {}, [f"Unexpected JSON root type: {type(raw).__name__}"]
     data = unwrap(raw)
     fields, misc = known_of(data), _json_misc(data)
     extra = {k: v for k, v in data.items() if X.plain_key(str(k)) not in JSON_TAKEN} | misc
     return {f: plain(fields.get(f)) for f in SCALARS} | {
         "skills": _cells(fields.get("skills")), "experience": [_json_experience(x) for x in _list_of(data, "experience")], "education": [_json_education(x) for x in _list_of(data, "education")],
         "links": _json_links(data), "extra_fields": [(k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in extra.items()],
-        "all_text": "\n".join(leaves(raw)), "own_text": "\n".join(leaves(data)),
+        "all_text": "\n".join(leaves(raw)), "own_text": "\n".join(leaves(data)), "parse_errors": errors,
     }
 
 
@@ -322,8 +343,11 @@ def extract_json(raw: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("record_id", "source", "source_file", "parse_errors")} | walk(r["raw_json"]) for r in rows], arrow)
+            out = []
+            for r in batch.to_pylist():
+                own = walk(r["raw_json"])
+                out.append(own | {k: r[k] for k in ("record_id", "source", "source_file")} | {"parse_errors": (r["parse_errors"] or []) + own["parse_errors"]})
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
     walked = raw.select("record_id", "source", "source_file", "parse_errors", "raw_json").mapInArrow(run, schema)
     given = F.transform("links", lambda x: X.link(X.with_scheme(x["url"]), F.coalesce(x["label"], X.site(X.with_scheme(x["url"])))))

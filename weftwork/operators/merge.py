@@ -7,15 +7,16 @@ groups with two entries or more reach the Arrow function that does it.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MergeRules
 from ..functions import fuzzy as Z
+from ..functions import normalize as N
 from ..functions import text as X
 from ..functions.arrow import arrow
-from ..functions.vocabulary import DEGREES
 from ..schema import EDUCATION, EXPERIENCE, LISTS, SCALARS
 
 # Similarity from which entries are one.
@@ -80,77 +81,74 @@ def union_skills(members: DataFrame, priority: tuple[str, ...]) -> DataFrame:
     return once.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["skill"]).alias("skills"))
 
 
-def extra_map() -> Column:
-    """Per key the value of the first record that has it."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col("record_id"), F.map_entries("extra_fields").alias("e"))))
-    return F.map_from_entries(X.first_by(F.flatten(F.transform(rows, lambda x: x["e"])), lambda e: e["key"]))
+def extra_map(members: DataFrame) -> DataFrame:
+    """(group_id, extra_fields): per key the value of the first record that has it, keys in that order; by way of rows."""
+    rows = members.select("group_id", "record_id", F.posexplode(F.map_entries("extra_fields")).alias("pos", "e"))
+    at = F.struct("record_id", "pos", F.col("e.value").alias("value"))
+    once = rows.groupBy("group_id", F.col("e.key").alias("key")).agg(F.min(at).alias("at"))
+    ordered = F.array_sort(F.collect_list(F.struct("at.record_id", "at.pos", "key", "at.value")))
+    return once.groupBy("group_id").agg(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["key"], x["value"]))).alias("extra_fields"))
 
 
-def _ratio(a: str | None, b: str | None) -> float:
-    return Z.plain_token_sort(a, b)
+def _scores(ratio, kept: list[str | None], new: str | None) -> np.ndarray:
+    """Similarity of new to each of kept; NaN where either has nothing to compare, so that no test on it holds."""
+    return np.array([ratio(x, new) if x and new else np.nan for x in kept])
 
 
-def plain_degree(text: str | None) -> str:
-    """The degree form of functions.normalize, for one text."""
-    import re
+#: For each kind of entry: fields compared, fields that take the longest value, fields that take the first one.
+KINDS = {
+    "experience": (("company", "title"), ("company", "title", "description"), ("location", "duration")),
+    "education": (("institution", "form"), ("institution", "degree"), ("field_of_study", "duration", "gpa")),
+}
 
-    if not text:
-        return ""
-    clean = re.sub(r"(?<=[A-Za-z])\.(?=[A-Za-z])", "", text).lower().strip()
-    core = re.sub(r"[,(].*$|\s+in\s+.*$", "", clean).strip()
-    first = re.match(r"[a-z]+", re.sub(r"[^a-z\s]", "", core))
-    return DEGREES.get(first[0] if first else "", "") or core or clean
 
+def alike(kind: str, kept: dict[str, list], new: dict, ratio=Z.plain_token_sort) -> np.ndarray:
+    """Which kept entries (columns of values) new is one with: every score is taken once, then the first case decides."""
+    place, role = KINDS[kind][0]
+    at, of = _scores(ratio, kept[place], new[place]), _scores(ratio, kept[role], new[role])
+    if kind == "education":
+        return np.select([at < INSTITUTION, of < DEGREE], [False, False], (at >= INSTITUTION) | (of >= DEGREE))
+    # one source may have company and title the other way round; a title may be part of the other
+    swapped = np.fmax(_scores(ratio, kept[role], new[place]), _scores(ratio, kept[place], new[role]))
+    inside = _scores(lambda x, y: Z.plain_partial(x.lower(), y.lower()), kept[role], new[role])
+    cases = [(at < COMPANY, swapped >= COMPANY), (at >= STRONG_COMPANY, ~(inside < PART_OF_TITLE)), (of < COMPANY, np.zeros(len(of), bool))]
+    return np.select(*map(list, zip(*cases)), (at >= COMPANY) | (of >= COMPANY))
 
-def same_job(a: dict, b: dict) -> bool:
-    if not (a["company"] or a["title"]) or not (b["company"] or b["title"]):
-        return False
-    company, title = _ratio(a["company"], b["company"]), _ratio(a["title"], b["title"])
-    if a["company"] and b["company"]:
-        if company < COMPANY:  # perhaps one source has them the other way round
-            return max(_ratio(a["company"], b["title"]), _ratio(a["title"], b["company"])) >= COMPANY
-        if company >= STRONG_COMPANY:
-            return not (a["title"] and b["title"]) or Z.plain_partial(a["title"].lower(), b["title"].lower()) >= PART_OF_TITLE
-    if a["title"] and b["title"] and title < COMPANY:
-        return False
-    return company >= COMPANY or title >= COMPANY
 
+class _Memo:
+    """Ratios of pairs of values; a group's entries repeat the same few."""
 
-def same_degree(a: dict, b: dict) -> bool:
-    if not (a["institution"] or a["degree"]) or not (b["institution"] or b["degree"]):
-        return False
-    place, degree = _ratio(a["institution"], b["institution"]), _ratio(plain_degree(a["degree"]), plain_degree(b["degree"]))
-    if a["institution"] and b["institution"] and place < INSTITUTION or a["degree"] and b["degree"] and degree < DEGREE:
-        return False
-    return place >= INSTITUTION or degree >= DEGREE
+    def __init__(self):
+        self.known: dict[tuple, float] = {}
 
+    def __call__(self, a: str, b: str) -> float:
+        if (v := self.known.get((a, b))) is None:
+            v = self.known[a, b] = Z.plain_token_sort(a, b)
+        return v
 
-def _longer(a, b):
-    return b if not a or b and len(b) > len(a) else a
 
+def fold_entries(items: list[dict], kind: str) -> list[dict]:
+    """Entries in order, each dropped if it equals one kept, put into the first kept one it is alike, or kept.
 
-#: For each kind of entry: whether two are one, and which fields take the longer, or the first set, value.
-KINDS = {"experience": (same_job, ("company", "title", "description"), ("location", "duration")), "education": (same_degree, ("institution", "degree"), ("field_of_study", "duration"))}
-
-
-def fold_entries(items, kind: str) -> list[dict]:
-    """Entries in order: repeats are dropped, an entry like one kept before goes into the first such."""
-    same, longer, first = KINDS[kind]
-    out: list[dict] = []
+    Education entries carry form, the comparable form of their degree, which follows the degree."""
+    compared, longest, first = KINDS[kind]
+    kept, ratio = [], _Memo()
     for x in items:
-        x = dict(x)
-        if x in out:
+        if x in kept:
             continue
-        k = next((k for k, y in enumerate(out) if same(y, x)), None)
-        if k is None:
-            out.append(x)
+        same = alike(kind, {f: [y[f] for y in kept] for f in compared}, x, ratio) if kept else np.zeros(0, bool)
+        if not same.any():
+            kept.append(x)
             continue
-        y = out[k]
-        both = {f: _longer(y[f], x[f]) for f in longer} | {f: y[f] or x[f] for f in first}
-        if kind == "education":
-            both["gpa"] = y["gpa"] if y["gpa"] is not None else x["gpa"]
-        out[k] = y | both
-    return out
+        y = kept[int(same.argmax())]
+        if "form" in x and len(x["degree"] or "") > len(y["degree"] or ""):
+            y["form"] = x["form"]
+        for f in longest:
+            y[f] = max(y[f], x[f], key=lambda v: len(v or ""))  # the kept one of equals
+        for f in first:
+            if y[f] is None or y[f] == "":
+                y[f] = x[f]
+    return kept
 
 
 def _plain(x):
@@ -161,13 +159,27 @@ def _plain(x):
 
 
 @arrow(f"array<{EXPERIENCE}>")
-def fold_experience(items: pd.Series) -> pd.Series:
+def _fold_experience(items: pd.Series) -> pd.Series:
     return items.map(lambda xs: None if xs is None else fold_entries([_plain(x) for x in xs], "experience"))
 
 
 @arrow(f"array<{EDUCATION}>")
-def fold_education(items: pd.Series) -> pd.Series:
-    return items.map(lambda xs: None if xs is None else fold_entries([_plain(x) for x in xs], "education"))
+def _fold_education(items: pd.Series, forms: pd.Series) -> pd.Series:
+    def one(xs, fs):
+        kept = fold_entries([_plain(x) | {"form": f} for x, f in zip(xs, fs)], "education")
+        return [{k: v for k, v in y.items() if k != "form"} for y in kept]
+
+    return pd.Series([None if xs is None else one(xs, fs) for xs, fs in zip(items, forms)], dtype=object)
+
+
+def fold_experience(items: Column) -> Column:
+    """Distinct jobs of a list."""
+    return _fold_experience(items)
+
+
+def fold_education(items: Column) -> Column:
+    """Distinct schools and degrees of a list; degrees are compared in the form of functions.normalize."""
+    return _fold_education(items, F.transform(items, lambda x: N.degree(x["degree"])))
 
 
 def merge(members: DataFrame, rules: MergeRules) -> DataFrame:
@@ -182,7 +194,8 @@ def merge(members: DataFrame, rules: MergeRules) -> DataFrame:
             apart = rule.priority
         else:
             aggs[f] = ordered_items(f, rule.priority).alias(f)
-    out = with_last(members).groupBy("group_id").agg(*aggs.values(), extra_map().alias("extra_fields"), F.count(F.lit(1)).alias("n_records"))
+    out = with_last(members).groupBy("group_id").agg(*aggs.values(), F.count(F.lit(1)).alias("n_records"))
+    out = out.join(extra_map(members), "group_id", "left").withColumn("extra_fields", F.coalesce("extra_fields", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")))
     if apart is not None:
         out = out.join(union_skills(members, apart), "group_id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
     if rules.rule("links").strategy == "union":

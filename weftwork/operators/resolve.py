@@ -21,10 +21,14 @@ MAX_ROUNDS = 60
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut with a reliable checkpoint in the folder that spark.checkpoint.dir names, or a temporary one if unset."""
+    """Lineage cut with a reliable checkpoint in the folder that spark.checkpoint.dir names; only a session whose
+    executors run in this process may leave it unset, as no other machine sees a temporary folder here."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "weftwork-checkpoints"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weftwork-checkpoints"))
     return df.checkpoint()
 
 

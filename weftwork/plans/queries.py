@@ -52,44 +52,49 @@ def _records(df: DataFrame) -> DataFrame:
 
 # Golden records
 
-_PEOPLE = """
-SELECT c_custkey * 4 AS record_id, 'csv' AS source, 'user' || (c_custkey % 500) || '@Example.com' AS email, c_name AS name, n_name AS location, CAST(NULL AS VARCHAR) AS summary, c_mktsegment AS skill
+# Every person has a name of its own; every seventh customer's name lacks a letter and no one shares its e-mail, so that
+# only the default name threshold brings it to its person. The SQL knows whose misspelling each one is.
+_LETTERS = "translate(md5(CAST(person AS VARCHAR)), '0123456789abcdef', 'abcdefghijklmnop')"
+_FULL_NAME = f"'a' || {_LETTERS}[1:12] || ' z' || {_LETTERS}[13:24]"
+_PEOPLE = f"""
+SELECT record_id, source, summary, skill, location, person, typo, CASE WHEN typo THEN 'typo' || (record_id // 4) || '@example.com' ELSE email END AS email,
+  CASE WHEN typo THEN name[1:(record_id // 4) % 10 + 1] || name[(record_id // 4) % 10 + 3:] ELSE name END AS name FROM (
+SELECT *, CASE WHEN named THEN {_FULL_NAME} END AS name FROM (
+SELECT c_custkey * 4 AS record_id, 'csv' AS source, c_custkey % 500 AS person, 'user' || (c_custkey % 500) || '@Example.com' AS email, true AS named, c_custkey % 7 = 0 AS typo, n_name AS location, CAST(NULL AS VARCHAR) AS summary, c_mktsegment AS skill
   FROM customer JOIN nation ON c_nationkey = n_nationkey
-UNION ALL SELECT o_orderkey * 4 + 1, 'json', 'USER' || (o_custkey % 500) || '@example.com', NULL, NULL, o_orderpriority, o_orderstatus FROM orders
-UNION ALL SELECT s_suppkey * 4 + 2, 'ats', 'User' || (s_suppkey % 500) || '@example.com', s_name, CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE 'city ' || s_nationkey END, NULL, 'Machinery' FROM supplier
+UNION ALL SELECT o_orderkey * 4 + 1, 'json', o_custkey % 500, 'USER' || (o_custkey % 500) || '@example.com', false, false, NULL, o_orderpriority, o_orderstatus FROM orders
+UNION ALL SELECT s_suppkey * 4 + 2, 'ats', s_suppkey % 500, 'User' || (s_suppkey % 500) || '@example.com', true, false, CASE WHEN s_suppkey % 3 = 0 THEN ' ' ELSE 'city ' || s_nationkey END, NULL, 'Machinery' FROM supplier))
+"""
+#: A misspelt name belongs to its person if another record has the person's full name, else to the person's other misspelt ones.
+_GROUPED = f"""
+WITH p AS ({_PEOPLE}), k AS (SELECT *, CASE WHEN typo AND NOT coalesce(bool_or(name IS NOT NULL AND NOT typo) OVER (PARTITION BY person), false) THEN 1000000 + person ELSE person END AS k FROM p),
+m AS (SELECT *, min(record_id) OVER (PARTITION BY k) AS group_id FROM k)
 """
 
 
 def people(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     mail = lambda start, key, end: F.concat(F.lit(start), (F.col(key) % 500).cast("string"), F.lit(end))
-    a = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") * 4).alias("record_id"), F.lit("csv").alias("source"), mail("user", "c_custkey", "@Example.com").alias("email"), F.col("c_name").alias("name"), F.col("n_name").alias("location"), none.alias("summary"), F.array("c_mktsegment").alias("skills"))
+    letters = lambda key: F.translate(F.md5((F.col(key) % 500).cast("string").cast("binary")), "0123456789abcdef", "abcdefghijklmnop")
+    name = lambda key: F.concat(F.lit("a"), F.substring(letters(key), 1, 12), F.lit(" z"), F.substring(letters(key), 13, 12))
+    key = F.col("c_custkey")
+    planted, at = key % 7 == 0, (key % 10 + 2).cast("int")  # a letter of the first word goes
+    typo = F.concat(F.substr(name("c_custkey"), F.lit(1), at - 1), F.substr(name("c_custkey"), at + 1, F.lit(99)))
+    own = F.concat(F.lit("typo"), key.cast("string"), F.lit("@example.com"))
+    a = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select((key * 4).alias("record_id"), F.lit("csv").alias("source"), F.when(planted, own).otherwise(mail("user", "c_custkey", "@Example.com")).alias("email"), F.when(planted, typo).otherwise(name("c_custkey")).alias("name"), F.col("n_name").alias("location"), none.alias("summary"), F.array("c_mktsegment").alias("skills"))
     b = table(spark, d, "orders").select((F.col("o_orderkey") * 4 + 1).alias("record_id"), F.lit("json"), mail("USER", "o_custkey", "@example.com"), none, none, F.col("o_orderpriority"), F.array("o_orderstatus"))
-    c = table(spark, d, "supplier").select((F.col("s_suppkey") * 4 + 2).alias("record_id"), F.lit("ats"), mail("User", "s_suppkey", "@example.com"), F.col("s_name"), F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise(F.concat(F.lit("city "), F.col("s_nationkey").cast("string"))), none, F.array(F.lit("Machinery")))
+    c = table(spark, d, "supplier").select((F.col("s_suppkey") * 4 + 2).alias("record_id"), F.lit("ats"), mail("User", "s_suppkey", "@example.com"), name("s_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise(F.concat(F.lit("city "), F.col("s_nationkey").cast("string"))), none, F.array(F.lit("Machinery")))
     return _records(a.union(b).union(c))
 
 
 def grouped_people(spark: SparkSession, d: str) -> DataFrame:
-    """With group_id; names differ all, so a threshold of 1 leaves e-mails as the only links."""
+    """With group_id, resolved with the default thresholds."""
     records = people(spark, d)
-    return records.join(resolve.resolve(records, C.Resolution(name_similarity_threshold=1.0)), "record_id")
-
-
-def named_people(spark: SparkSession, d: str) -> DataFrame:
-    """people with a name of its own for each person; every seventh customer's name lacks a letter, and no one shares its e-mail."""
-    letters = F.translate(F.md5(F.regexp_extract(F.lower("email"), r"^user(\d+)@", 1).cast("binary")), "0123456789abcdef", "abcdefghijklmnop")
-    name = F.concat(F.lit("a"), F.substring(letters, 1, 12), F.lit(" z"), F.substring(letters, 13, 12))
-    customer = F.floor(F.col("record_id") / 4)
-    planted = (F.col("source") == "csv") & (customer % 7 == 0)
-    at = (customer % 10 + 2).cast("int")  # in the first word
-    typo = F.concat(F.substr(name, F.lit(1), at - 1), F.substr(name, at + 1, F.lit(99)))
-    own = F.concat(F.lit("typo"), customer.cast("string"), F.lit("@example.com"))
-    return people(spark, d).withColumns({"name": F.when(planted, typo).when(F.col("name").isNotNull(), name), "email": F.when(planted, own).otherwise(F.col("email"))})
+    return resolve.checkpointed(records.join(resolve.resolve(records, C.Resolution()), "record_id"))
 
 
 _GOLDEN = f"""
-WITH p AS ({_PEOPLE}), m AS (SELECT *, min(record_id) OVER (PARTITION BY lower(email)) AS group_id FROM p),
-l AS (SELECT *, record_id = max(record_id) OVER (PARTITION BY group_id, source) AS is_last FROM m),
+{_GROUPED}, l AS (SELECT *, record_id = max(record_id) OVER (PARTITION BY group_id, source) AS is_last FROM m),
 s AS (SELECT group_id, string_agg(skill, ',' ORDER BY r, record_id) AS skills FROM (
   SELECT group_id, arg_min(skill, (CAST(r AS BIGINT) * 1000000000 + record_id)) AS skill, min(r) AS r, min(record_id) FILTER (r = mr) AS record_id FROM (
     SELECT *, min(r) OVER (PARTITION BY group_id, lower(skill)) AS mr FROM (SELECT *, CASE source WHEN 'ats' THEN 2 WHEN 'json' THEN 3 ELSE 4 END AS r FROM m))
@@ -118,12 +123,12 @@ def entity_golden_record(spark, d):
 @query()
 def entity_profiles(spark, d):
     """The whole pipeline; SQL can't say all of it."""
-    profiles = pipeline.run_records(named_people(spark, d), C.standard(), AS_OF).profiles
+    profiles = pipeline.run_records(people(spark, d), C.standard(), AS_OF).profiles
     return profiles.select("group_id", F.to_json("fields").alias("fields"), F.to_json("confidence").alias("confidence"), F.to_json("validation").alias("validation"))
 
 
 @query(
-    f"""WITH p AS ({_PEOPLE}), m AS (SELECT *, min(record_id) OVER (PARTITION BY lower(email)) AS group_id FROM p)
+    f"""{_GROUPED}
 SELECT group_id, count(*) AS size, count(*) = 1 AS is_singleton, string_agg(source, ',' ORDER BY record_id) AS sources, arg_min(email, record_id) AS primary_email,
   arg_min(name, record_id) FILTER (length(name) > 0) AS primary_name FROM m GROUP BY group_id"""
 )
@@ -203,7 +208,6 @@ def url_classify(spark, d):
     return table(spark, d, "pages").select("page_id", X.site(u).alias("label"), X.with_scheme(u).alias("with_scheme"))
 
 
-@query()
 def links_of_pages(spark, d):
     """Links of each page's source, in order and without repeats."""
     found = X.merge_links(X.text_links(F.concat_ws(" ", "url", "html")))
@@ -251,7 +255,7 @@ def date_validate(spark, d):
     return _dated(spark, d).select("o_orderkey", validate.canonical_date(F.col("raw")).alias("canonical"))
 
 
-_TERMS = ["the", "of", "C++", "tion", "de", "la", "and"]
+_TERMS = ["the", "of", "tion", "de", "la", "and", *V.TECH_TERMS]  # words that the texts hold, and the whole dictionary
 
 
 def _sql_term(t: str) -> str:
@@ -283,7 +287,10 @@ def skill_synonyms_dedup(spark, d):
     return _skilled(spark, d).select("p_partkey", F.array_join(N.skill_synonyms(F.col("skills"), C.STANDARD_SYNONYMS), ",").alias("skills"))
 
 
-@query()
+@query(
+    "__LCS__, near AS (SELECT list(a || '|' || b) AS x FROM scored WHERE score >= 0.85), g AS (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS names FROM part GROUP BY p_brand)"
+    " SELECT p_brand, array_to_string(list_reduce(list_transform(names, lambda n: [n]), lambda acc, n: CASE WHEN len(list_filter(acc, lambda y: list_contains(near.x, y || '|' || n[1]))) = 0 THEN list_concat(acc, n) ELSE acc END), ',') AS kept FROM g, near"
+)
 def skill_fuzzy_dedup(spark, d):
     names = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
     return names.select("p_brand", F.array_join(N.near_distinct(F.col("names")), ",").alias("kept"))
@@ -317,6 +324,9 @@ scored AS (SELECT a, b, 2.0 * r[len(r)] / (length(sa) + length(sb)) AS score FRO
 """
 
 
+ORACLE_SQL["skill_fuzzy_dedup"] = ORACLE_SQL["skill_fuzzy_dedup"].replace("__LCS__", _LCS)  # the scored pairs of names are made above
+
+
 @query(_LCS + "SELECT a, b, CAST(round(score, 6) AS DOUBLE) AS score FROM scored WHERE score >= 0.8")
 def token_sort_pairs(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
@@ -343,22 +353,11 @@ def fuzzy_components(spark, d):
     return resolve.resolve(records, C.Resolution())
 
 
-@query(
-    _LCS
-    + """, p AS (SELECT p_partkey AS id, p_name AS name, lower('P' || (p_partkey % 700)) AS mail FROM part WHERE p_partkey < 700 OR p_partkey % 7 = 0)
-SELECT x.id AS i, y.id AS j, 'email:exact' AS reason FROM p x JOIN p y ON x.mail = y.mail AND x.id < y.id"""
-)
-def match_reasons_email(spark, d):
-    """Matching pairs by e-mail, with names that can't match."""
-    records = table(spark, d, "part").where("p_partkey < 700 or p_partkey % 7 = 0").select(F.col("p_partkey").alias("record_id"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("P"), (F.col("p_partkey") % 700).cast("string")).alias("email"))
-    return resolve.matches(records, C.Resolution())
-
-
 @query(
     """WITH p AS (SELECT p_partkey AS id, lower('P' || (p_partkey // 4)) AS mail FROM part)
 SELECT x.id AS i, y.id AS j, 'email:exact' AS reason FROM p x JOIN p y ON x.mail = y.mail AND x.id < y.id"""
 )
-def match_reasons_email_all(spark, d):
+def match_reasons_email(spark, d):
     """Matching pairs by e-mail over every part; four parts share a key, at any size."""
     records = table(spark, d, "part").select(F.col("p_partkey").alias("record_id"), F.lit(None).cast("string").alias("name"), F.concat(F.lit("P"), F.floor(F.col("p_partkey") / 4).cast("string")).alias("email"))
     return resolve.matches(records, C.Resolution())
@@ -452,25 +451,85 @@ def merge_list_first(spark, d):
 SELECT group_id, k AS key, arg_min(v, record_id) AS value FROM q GROUP BY group_id, k""")
 def merge_extra_map(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("group_id"), F.col("event_id").alias("record_id"), F.create_map(F.col("event_type"), F.col("value").cast("string"), F.lit("seen"), F.col("event_id").cast("string")).alias("extra_fields"))
-    return rows.groupBy("group_id").agg(merge.extra_map().alias("m")).select("group_id", F.explode("m").alias("key", "value"))
+    return merge.extra_map(rows).select("group_id", F.explode("extra_fields").alias("key", "value"))
 
 
-@query()
+def _site_sql(u: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({u}, '(?i)(?:^|//|\\.){host}\\.com') THEN '{label}'" for label, host in V.LINK_SITES.items()) + " ELSE 'Website' END"
+
+
+def _url_key_sql(u: str) -> str:
+    return f"rtrim(regexp_replace(regexp_replace(lower(trim({u})), '^https?://', ''), '^www\\.', ''), '/')"
+
+
+#: Of links (g, ord, url, label): the first of each telling label, and of other ones the first of each URL.
+_FIRST_LINKS = f"""k AS (SELECT *, lower(label) IN ({', '.join(map(_q, V.GENERIC_LABELS))}) AS plain, {_url_key_sql('url')} AS u FROM x),
+kept AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY g, plain, CASE WHEN plain THEN u ELSE lower(label) END ORDER BY ord) = 1)"""
+
+
+@query(
+    f"""WITH r AS (SELECT page_id // 10 AS g, page_id, [url, 'https://github.com/u' || (page_id % 7)] AS urls FROM pages),
+x AS (SELECT g, page_id * 2 + i AS ord, urls[i] AS url, {_site_sql('urls[i]')} AS label FROM r, range(1, 3) AS t(i)), {_FIRST_LINKS}
+SELECT g AS group_id, CAST(row_number() OVER (PARTITION BY g ORDER BY ord) - 1 AS INTEGER) AS pos, url, label FROM kept"""
+)
 def merge_links(spark, d):
-    rows = table(spark, d, "pages").select((F.col("page_id") % 20).alias("group_id"), F.col("page_id").alias("record_id"), F.lit("csv").alias("source"), F.array(X.link(F.col("url"), X.site(F.col("url"))), X.link(F.concat(F.lit("https://github.com/u"), (F.col("page_id") % 7).cast("string")), F.lit("GitHub"))).alias("links"))
+    rows = table(spark, d, "pages").select(F.floor(F.col("page_id") / 10).alias("group_id"), F.col("page_id").alias("record_id"), F.lit("csv").alias("source"), F.array(X.link(F.col("url"), X.site(F.col("url"))), X.link(F.concat(F.lit("https://github.com/u"), (F.col("page_id") % 7).cast("string")), F.lit("GitHub"))).alias("links"))
     return rows.groupBy("group_id").agg(X.merge_links(merge.ordered_items("links", ("csv",))).alias("links")).select("group_id", F.posexplode("links").alias("pos", "x")).select("group_id", "pos", "x.*")
 
 
-@query()
+_COMPANIES = ["Acme Rockets", "Blue Kitchens", "Zug Transport", "Quiet Forge"]
+
+
+@query(
+    f"""WITH j AS (SELECT o_custkey AS g, o_orderkey AS k, {_COMPANIES}[o_orderkey % 4 + 1] AS company, CASE WHEN o_orderkey % 3 > 0 THEN 'Head Cook' END AS title, o_orderpriority AS description, CASE WHEN o_orderkey % 5 > 1 THEN o_orderstatus END AS location FROM orders),
+f AS (SELECT g, company, min(k) AS k, any_value(title) AS title, arg_max(description, length(description) * 1000000000 - k) AS description, arg_min(location, k) FILTER (location IS NOT NULL) AS location FROM j GROUP BY g, company)
+SELECT g AS group_id, CAST(row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS INTEGER) AS pos, company, title, description, location FROM f"""
+)
 def merge_experience(spark, d):
-    """Orders as jobs of their customers, folded into distinct ones."""
-    o = table(spark, d, "orders")
-    job = F.struct(F.concat(F.lit("Company "), (F.col("o_orderkey") % 3).cast("string")).alias("company"), F.concat(F.lit("Engineer "), F.col("o_orderpriority")).alias("title"), F.lit(None).cast(DURATION).alias("duration"), F.col("o_orderstatus").alias("description"), F.lit(None).cast("string").alias("location")).cast(EXPERIENCE)
-    rows = o.select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("record_id"), F.lit("resume_pdf").alias("source"), F.array(job).alias("experience"))
+    """Orders as jobs of their customers, folded into distinct ones: no two companies are alike, and titles are alike or missing."""
+    k = F.col("o_orderkey")
+    job = F.struct(F.get(F.array(*map(F.lit, _COMPANIES)), (k % 4).cast("int")).alias("company"), F.when(k % 3 > 0, "Head Cook").alias("title"), F.lit(None).cast(DURATION).alias("duration"), F.col("o_orderpriority").alias("description"), F.when(k % 5 > 1, F.col("o_orderstatus")).alias("location")).cast(EXPERIENCE)
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("group_id"), k.alias("record_id"), F.lit("resume_pdf").alias("source"), F.array(job).alias("experience"))
     folded = rows.groupBy("group_id").agg(merge.ordered_items("experience", ("resume_pdf",)).alias("x")).select("group_id", merge.fold_experience(F.col("x")).alias("x"))
-    return folded.select("group_id", F.posexplode("x").alias("pos", "x")).select("group_id", "pos", "x.company", "x.title", "x.description")
+    return folded.select("group_id", F.posexplode("x").alias("pos", "x")).select("group_id", "pos", "x.company", "x.title", "x.description", "x.location")
 
 
+_SCHOOLS = ["MIT", "Oxford University", "ETH Zurich"]
+_BACHELORS = ["B.E", "Bachelor of Engineering in Physics", "B.E., Law"]
+
+
+@query(
+    f"""WITH j AS (SELECT o_custkey AS g, o_orderkey AS k, CASE WHEN o_orderkey % 4 = 3 THEN 'PhD' ELSE {_BACHELORS}[o_orderkey % 3 + 1] END AS degree, {_SCHOOLS}[(o_orderkey // 4) % 3 + 1] AS school, o_orderkey % 4 = 3 AS doctor, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey / 8.0::DOUBLE END AS gpa FROM orders),
+f AS (SELECT g, school, doctor, min(k) AS k, arg_max(degree, length(degree) * 1000000000 - k) AS degree, arg_min(gpa, k) FILTER (gpa IS NOT NULL) AS gpa FROM j GROUP BY g, school, doctor)
+SELECT g AS group_id, CAST(row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS INTEGER) AS pos, school AS institution, degree, gpa FROM f"""
+)
+def merge_education(spark, d):
+    """Orders as degrees of their customers: one entry for each school and degree, however the degree is written."""
+    k = F.col("o_orderkey")
+    degree = F.when(k % 4 == 3, "PhD").otherwise(F.get(F.array(*map(F.lit, _BACHELORS)), (k % 3).cast("int")))
+    school = F.get(F.array(*map(F.lit, _SCHOOLS)), (F.floor(k / 4) % 3).cast("int"))
+    entry = F.struct(school.alias("institution"), degree.alias("degree"), F.lit(None).cast("string").alias("field_of_study"), F.lit(None).cast(DURATION).alias("duration"), F.when(k % 2 == 0, k / F.lit(8.0)).alias("gpa")).cast(EDUCATION)
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("group_id"), k.alias("record_id"), F.lit("resume_pdf").alias("source"), F.array(entry).alias("education"))
+    folded = rows.groupBy("group_id").agg(merge.ordered_items("education", ("resume_pdf",)).alias("x")).select("group_id", merge.fold_education(F.col("x")).alias("x"))
+    return folded.select("group_id", F.posexplode("x").alias("pos", "x")).select("group_id", "pos", "x.institution", "x.degree", "x.gpa")
+
+
+def _links_sql() -> str:
+    """Site by site: its links, then a text without them; last, the other URLs."""
+    steps, parts = ["t0 AS (SELECT page_id, concat_ws(' ', url, html) AS t FROM pages)"], []
+    for k, (label, host) in enumerate(V.LINK_SITES.items()):
+        own = rf"(?:https?://)?(?:www\.)?{host}\.com/[\w\-_%/{'@' if label == 'Medium' else ''}]+"
+        parts.append(f"SELECT page_id, {k} AS site, i, CASE WHEN regexp_matches(trim(m), '(?i)^https?://') THEN trim(m) ELSE 'https://' || trim(m) END AS url, '{label}' AS label FROM (SELECT page_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT page_id, regexp_extract_all(t, {_q('(?i)' + own)}) AS ms FROM t{k}))")
+        left = _q("(?i)(?:https?://[^\\s()<>\"']*?)?" + own)
+        steps.append(f"t{k + 1} AS (SELECT page_id, regexp_replace(t, {left}, chr(1), 'g') AS t FROM t{k})")
+    last = len(V.LINK_SITES)
+    url = "regexp_replace(m, '[.,;:)]+$', '')"
+    parts.append(f"SELECT page_id, {last}, i, {url}, {_site_sql(url)} FROM (SELECT page_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT page_id, regexp_extract_all(t, {_q('(?i)' + V.GENERIC_URL)}) AS ms FROM t{last})) WHERE NOT contains({url}, chr(1))")
+    return "WITH " + ", ".join(steps) + f", x AS (SELECT page_id AS g, CAST(site AS BIGINT) * 1000000000 + i AS ord, url, label FROM ({' UNION ALL '.join(parts)})), {_FIRST_LINKS} SELECT g AS page_id, CAST(row_number() OVER (PARTITION BY g ORDER BY ord) - 1 AS INTEGER) AS pos, url, label FROM kept"
+
+
+query(_links_sql())(links_of_pages)
+
 # Data quality
 
 
@@ -553,15 +612,8 @@ def cross_field_issues(spark, d):
 _RELIABILITY_SQL = "CASE source WHEN 'ats' THEN 0.95 WHEN 'resume_pdf' THEN 0.85 WHEN 'json' THEN 0.75 WHEN 'csv' THEN 0.70 ELSE 0.5 END"
 
 
-@query(f"WITH m AS (SELECT user_id, ['ats', 'csv', 'resume_txt', 'json', 'resume_pdf'][(event_id % 5) + 1] AS source FROM events WHERE event_id % 37 = user_id % 37 OR event_type = 'error') SELECT user_id, CAST(round(1 - product(CAST(1 - {_RELIABILITY_SQL} AS DOUBLE)), 9) AS DOUBLE) AS combined FROM m GROUP BY user_id")
-def noisy_or_reliability(spark, d):
-    e = table(spark, d, "events").where("event_id % 37 = user_id % 37 or event_type = 'error'")
-    source = F.get(F.array(*map(F.lit, _SOURCE_LIST)), (F.col("event_id") % 5).cast("int"))
-    return e.groupBy("user_id").agg(F.round(score.noisy_or(score.reliability(source, C.standard().source_reliability)), 9).alias("combined"))
-
-
 @query(f"WITH m AS (SELECT event_id // 4 AS block, ['ats', 'csv', 'resume_txt', 'json', 'resume_pdf'][(event_id % 5) + 1] AS source FROM events) SELECT block, count(*) AS n, CAST(round(1 - product(CAST(1 - {_RELIABILITY_SQL} AS DOUBLE)), 9) AS DOUBLE) AS combined FROM m GROUP BY block")
-def noisy_or_reliability_all(spark, d):
+def noisy_or_reliability(spark, d):
     """Over every event; a whole user's product is 1 to nine digits, so four events share a key, at any size."""
     source = F.get(F.array(*map(F.lit, _SOURCE_LIST)), (F.col("event_id") % 5).cast("int"))
     return table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 4).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.round(score.noisy_or(score.reliability(source, C.standard().source_reliability)), 9).alias("combined"))
@@ -617,10 +669,34 @@ def source_agreement(spark, d):
     return score.least_similarity(rows, C.Confidence()).where("field = 'email'").select("group_id", "n", "similarity")
 
 
+_CONF = C.Confidence()
+_MAIL = _CONF.thresholds("email")
+
+
+@query(
+    f"""WITH m AS (SELECT o_custkey AS g, o_orderkey AS k, {_SOURCE_SQL} AS source, 'u' || (CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_orderkey % 2 END) || '@x.com' AS email, o_orderkey % 3 = 0 AS skilled FROM orders),
+w AS (SELECT *, CAST({_RELIABILITY_SQL} AS DOUBLE) AS w FROM m),
+e AS (SELECT g, count(*) AS n, 1 - product(1 - w) AS c, CASE WHEN count(*) > 1 THEN CASE WHEN count(DISTINCT email) = 1 THEN 1.0 ELSE 0.0 END END AS s FROM w GROUP BY g),
+k AS (SELECT g, count(*) AS n, 1 - product(1 - w) AS c FROM w WHERE skilled GROUP BY g)
+SELECT g AS group_id, 'email' AS field, CAST(round(greatest(0, least(1, c + CASE WHEN s = 1 THEN {_CONF.max_agreement_bonus} WHEN s = 0 THEN -{_CONF.conflict_penalty} ELSE 0 END)), 3) AS DOUBLE) AS score, CAST(s AS DOUBLE) AS similarity,
+  n || ' source(s) contributing' || CASE WHEN s = 1 THEN '; sources agree' WHEN s = 0 THEN '; sources conflict (similarity=0%)' ELSE '' END AS reason FROM e
+UNION ALL SELECT g, 'skills', CASE WHEN k.g IS NULL THEN 0.0 ELSE CAST(round(least(1, k.c), 3) AS DOUBLE) END, NULL, CASE WHEN k.g IS NULL THEN 'field absent' ELSE k.n || ' source(s) contributing' END FROM e LEFT JOIN k USING (g)
+UNION ALL SELECT g, f, 0.0, NULL, 'field absent' FROM e, (SELECT unnest(['name', 'phone', 'location', 'summary', 'experience', 'education', 'links']) AS f)"""
+)
+def field_confidence(spark, d):
+    """Orders as records of their customers: e-mails agree for even customers, some records have a skill."""
+    k, g = F.col("o_orderkey"), F.col("o_custkey")
+    mail = F.concat(F.lit("u"), F.when(g % 2 == 0, 0).otherwise(k % 2).cast("string"), F.lit("@x.com"))
+    skills = F.when(k % 3 == 0, F.array(F.lit("SQL"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "orders").select(g.alias("group_id"), k.alias("record_id"), F.get(F.array(*map(F.lit, _SOURCE_LIST)), (k % 5).cast("int")).alias("source"), mail.alias("email"), skills.alias("skills"))
+    members = _records(rows).join(rows.select("record_id", "group_id"), "record_id")
+    golden = merge.merge(members, C.standard().merge_rules)
+    return score.field_scores(golden, members, _CONF, C.standard().source_reliability, F.lit(AS_OF)).select("group_id", "field", "score", "similarity", "reason")
+
+
 @query()
 def field_scores(spark, d):
-    records = named_people(spark, d)
-    members = resolve.checkpointed(records.join(resolve.resolve(records, C.Resolution()), "record_id"))
+    members = grouped_people(spark, d)
     golden = merge.merge(members, C.standard().merge_rules)
     return score.field_scores(golden, members, C.Confidence(), C.standard().source_reliability, F.lit(AS_OF)).select("group_id", "field", "score", "similarity", "reason")
 

@@ -27,6 +27,9 @@ _ARROW = pa.schema([("row_ord", pa.int64()), ("source_file", pa.string()), ("fie
 #: Sources for which an empty file is an error rather than no records.
 EMPTY = {"resume_txt": "TXT file is empty", "resume_pdf": "PDF file is empty"}
 
+#: Readers for large, splittable files, and the source whose records they give.
+SPLIT = {"csv_large": "csv", "json_lines": "json"}
+
 Reader = Callable[[SparkSession, str], DataFrame]
 _READERS: dict[str, Reader] = {}
 
@@ -49,15 +52,30 @@ def row(ord_: int, path: str, fields=(), raw_json=None, raw_text=None, errors=()
     return {"row_ord": ord_, "source_file": path, "fields": [{"key": k, "value": v} for k, v in fields], "raw_json": raw_json, "raw_text": raw_text, "parse_errors": list(errors)}
 
 
+#: Bits of record_id for the row in its partition, and for the partition in its input; the input takes what is left.
+ROW_BITS, PARTITION_BITS = 30, 20
+
+
 def _raw(df: DataFrame, source: str, input_ord: int = 0) -> DataFrame:
-    """Records of one input, numbered; an input's files and their rows keep their order."""
-    number = F.expr(f"{input_ord}L * 1000000000000L") + F.monotonically_increasing_id()
+    """Records of one input, numbered; an input's files and their rows keep their order.
+
+    A number has bits of its own for input, partition and row, so inputs keep their order at any number of partitions;
+    a partition of 2**30 rows, or an input of 2**20 partitions, fails instead of running into the next one's numbers."""
+    id_ = F.monotonically_increasing_id()  # partition << 33 | row
+    part, at = F.shiftright(id_, 33), id_.bitwiseAND((1 << 33) - 1)
+    fits = (part < (1 << PARTITION_BITS)) & (at < (1 << ROW_BITS))
+    if input_ord >= 1 << (63 - ROW_BITS - PARTITION_BITS):
+        raise ValueError(f"more than {1 << (63 - ROW_BITS - PARTITION_BITS)} inputs")
+    number = F.when(fits, F.lit(input_ord << (ROW_BITS + PARTITION_BITS)).cast("long") + F.shiftleft(part, ROW_BITS) + at).otherwise(F.raise_error(F.lit("a partition or an input has too many rows to be numbered")).cast("long"))
     return df.select(number.alias("record_id"), F.lit(input_ord).alias("input_ord"), "row_ord", F.lit(source).alias("source"), "source_file", "fields", "raw_json", "raw_text", "parse_errors")
 
 
+def _error_rows(spark: SparkSession, path: str, reason: str) -> DataFrame:
+    return spark.range(1).select(F.lit(0).cast("long").alias("row_ord"), F.lit(path).alias("source_file"), F.array().cast("array<struct<key:string,value:string>>").alias("fields"), F.lit(None).cast("string").alias("raw_json"), F.lit(None).cast("string").alias("raw_text"), F.array(F.lit(reason)).alias("parse_errors"))
+
+
 def error_records(spark: SparkSession, source: str, path: str, reason: str, input_ord: int = 0) -> DataFrame:
-    one = spark.range(1).select(F.lit(0).cast("long").alias("row_ord"), F.lit(path).alias("source_file"), F.array().cast("array<struct<key:string,value:string>>").alias("fields"), F.lit(None).cast("string").alias("raw_json"), F.lit(None).cast("string").alias("raw_text"), F.array(F.lit(reason)).alias("parse_errors"))
-    return _raw(one, source, input_ord)
+    return _raw(_error_rows(spark, path, reason), source, input_ord)
 
 
 def read(spark: SparkSession, source: str, path: str, input_ord: int = 0) -> DataFrame:
@@ -68,13 +86,15 @@ def read(spark: SparkSession, source: str, path: str, input_ord: int = 0) -> Dat
     files = _files(spark, path)
     if not files:
         return error_records(spark, source, path, f"File not found: {path}", input_ord)
-    out = None if all(size == 0 for _, size in files) else _raw(reader(spark, path), source, input_ord)
+    parts = [] if all(size == 0 for _, size in files) else [reader(spark, path)]
     if source in EMPTY:  # Spark's sources pass over files of no bytes
-        for name, size in files:
-            if size == 0:
-                one = error_records(spark, source, name, EMPTY[source], input_ord)
-                out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], RAW)
+        parts += [_error_rows(spark, name, EMPTY[source]) for name, size in files if size == 0]
+    if not parts:
+        return spark.createDataFrame([], RAW)
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return _raw(rows, SPLIT.get(source, source), input_ord)  # numbered as one table
 
 
 def read_all(spark: SparkSession, inputs: list[tuple[str, str]]) -> DataFrame:
@@ -158,8 +178,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return _by_file(spark, path, parse)
 
 
+@register("csv_large")
 def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The same for large UTF-8 files of one header, split over tasks by Spark's own reader."""
+    """The same for large UTF-8 files of one header without line breaks in values, split over tasks by Spark's own reader."""
     df = spark.read.csv(path, header=True, multiLine=False, mode="PERMISSIVE", escape='"')
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("source_file", F.input_file_name())
@@ -195,10 +216,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return _by_file(spark, path, parse)
 
 
+@register("json_lines")
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """An object on each line, for files too large to hold whole."""
+    """An object on each line, for files too large to hold whole; other lines are error records."""
     df = spark.read.text(path).withColumn("source_file", F.input_file_name())
-    bad = F.get_json_object("value", "$").isNull()
+    bad = F.get_json_object("value", "$").isNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
     return df.where(F.length(F.trim("value")) > 0).select(F.monotonically_increasing_id().alias("row_ord"), "source_file", F.array().cast("array<struct<key:string,value:string>>").alias("fields"), F.when(~bad, F.col("value")).alias("raw_json"), F.lit(None).cast("string").alias("raw_text"), F.when(bad, F.array(F.lit("JSON decode error"))).otherwise(F.array().cast("array<string>")).alias("parse_errors"))
 
 
