@@ -1,6 +1,7 @@
 """Operators against plain brute-force versions, on rows with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -338,8 +339,8 @@ def test_jaccard(spark, docs):
     assert collected(jaccard.join_groups(docs), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
-def test_jaccard_loose_groups(spark, monkeypatch):
-    """Chains and near misses, with tiles cut in small blocks."""
+def test_jaccard_loose_groups(spark):
+    """Chains and near misses, with shingles cut in small tiles and blocks and many sets with the same short key."""
     rng = random.Random(11)
     rows, i = [], 0
     for _ in range(12):
@@ -353,11 +354,43 @@ def test_jaccard_loose_groups(spark, monkeypatch):
             rows.append((i, " ".join(v[: rng.randint(66, 80)])))
             i += 1
     want = brute_groups(rows)
-    monkeypatch.setattr(jaccard._cross_pairs, "__defaults__", (3, False))
-    got = jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = jaccard.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), key_bits=5, block=3, often=2, tile=4)
     assert collected(got, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_jaccard_on_the_test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute_groups([(r.doc_id, r.text) for r in docs.collect()])
+    assert collected(jaccard.join_groups(docs, block=8, often=3, tile=5), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    assert len({c for _, _, c in want}) < len(want)
+
+
+def test_rows_of_one_doc_id(spark):
+    """Of a doc_id that stands on several texts, each goes with its own group."""
+    rng = random.Random(17)
+    w = [words(rng, 60) for _ in range(2)]
+    near = " ".join([*w[0][:20], "changed", *w[0][21:]])
+    rows = [(1, " ".join(w[0]), "a"), (5, near, "b"), (5, " ".join(w[1]), "c"), (5, "  ".join(w[1]), "d"), (5, "", "e"), (5, None, "f"), (None, "", "g"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `mark.x` string").withColumnsRenamed({"mark.x": "fp.x"}).repartition(3)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    marks = sorted(r["fp.x"] for r in kept.collect())
+    assert marks in (["a", "c", "e", "g", "h"], ["a", "d", "e", "g", "h"], ["a", "c", "f", "g", "h"], ["a", "d", "f", "g", "h"])
+    n = len({tuple(w[0][k : k + 5]) for k in range(56)})
+    assert (1, n, 1) in collected(jaccard.join_groups(docs), "doc_id", "n_shingles", "component_id") and (5, n, 1) in collected(jaccard.join_groups(docs), "doc_id", "n_shingles", "component_id")
+
+
+def test_a_large_group_never_meets_itself(spark):
+    """A token of 400 rows, all but three in one group: its blocks meet only the others' block."""
+    rows = [(7, i, 50, 0) for i in range(397)] + [(7, 1000 + i, 50, i + 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "token long, fp long, n long, label long")
+    classes = spark.createDataFrame([(r[1], bytearray(b"\x01" * 16)) for r in rows], "fp long, bits binary")
+    pairs = jaccard._cross_pairs(df, classes, 50)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert got == {(i, 1000 + k) for i in range(397) for k in range(3)} | {(1000, 1001), (1000, 1002), (1001, 1002)}
+
+
 def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

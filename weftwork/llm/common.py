@@ -30,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a session whose executors run in this
+    process gets one of our own where it is unset: on a cluster no other machine would see it."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or f"file://{os.path.join(tempfile.gettempdir(), f'checkpoints-{os.getpid()}')}"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{os.path.join(tempfile.gettempdir(), f'checkpoints-{os.getpid()}')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -51,7 +54,16 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete tables of write_shared that no later step reads."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def trim() -> None:

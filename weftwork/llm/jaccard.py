@@ -1,27 +1,31 @@
 r"""N-gram Jaccard join: groups of documents linked by a Jaccard similarity of 0.8 or more on 5-word shingles.
 
-1. One pass makes each text's shingle set, its size, a 64-bit key of the set, and a parity bitmap (bit k is
-   the parity of the shingles hashed to k, two to four bits for each shingle). Texts with equal sets are one
-   class from here on. The pass also counts in how many texts the shingles of each of 2**18 hash buckets
-   stand; these counts order all shingles from rare to common.
+1. One pass makes each text's shingle set, its size, a key of the set, and a parity bitmap (bit k is the
+   parity of the shingles hashed to k, two to four bits for each shingle). Texts with equal sets are one class
+   from here on: sets are told apart by 128 bits, a 64-bit key and a check; where one key has two checks, these
+   sets are keyed anew. The pass also counts in how many texts the shingles of each of 2**18 hash buckets stand;
+   these counts order all shingles from rare to common.
 2. A second pass emits the rarest fifth of each set: two sets with similarity 0.8 share one of these. Rows
-   that share a shingle form a tile, banded and sorted by set size.
+   that share a shingle form a tile, banded and sorted by set size. A shingle that a task meets often gets tiles
+   of its own for the rows after the first ones, whose first rows stand in the common tile too.
 3. In each tile, every row is paired with its neighbour in size order and with the first of its band: a tile
    of m rows makes fewer than 2 m pairs. Bitmaps bound the overlap from above, |A and B| <= (|A| + |B| -
    hamming) / 2; the pairs left are decided by exact intersection of sorted arrays. Links give groups.
-4. Tiles whose rows are in one group hold nothing more. In the others, each row takes the partner of another
+4. Shingles whose rows are in one group hold nothing more. For the others, each row takes the partner of another
    group whose bitmap is nearest; these pairs are decided, groups joined, and that is done again. Last, all
    pairs of rows that are still in different groups are held against size and bitmap bounds, block by block,
-   and those left are decided. So no link between groups is lost, while tight groups never cost all pairs.
+   and those left are decided. The rows of a large group have blocks of their own, which never meet each other:
+   a shingle of m rows, all but r in one group, costs about r m comparisons and not m m.
 
-Scale: rows of copies are merged before the shuffle by shingle, in each task; pair rows carry ids until the
-bitmaps have been used; only texts of such pairs are shuffled, once. The counts sent to the driver and the
-executors have 2**18 entries at any size. Groups come from label propagation over narrow rows, each
-round written to the shared folder.
+Scale: rows of copies are merged before the shuffle by shingle, in each task; pair rows carry keys until the
+bitmaps have been used; the sorted arrays are written once, and only those of open pairs are shuffled. The counts
+sent to the driver and the executors have 2**18 entries at any size. Groups come from label propagation over
+narrow rows, each round written to the shared folder. Tables that no later step reads are deleted.
 
 Defined results: null texts and texts without words have empty sets and are groups of their own, by
-doc_id; a text with one to four words is one shingle; repeated rows are copies; null doc_ids can belong to
-groups but never name one unless alone; extra columns are ignored.
+doc_id; a text with one to four words is one shingle; repeated rows are copies, and rows of one doc_id with
+different texts are looked at one by one; rows with a null doc_id belong to groups like others but never name
+one that holds a doc_id; shingles are told apart by 64 bits; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +33,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import SPACED_FOLD, Scan, flat, gram_hash, mix, slices, table, write_shared
+from .common import SPACED_FOLD, Scan, drop_shared, flat, gram_hash, slices, table, write_shared
 
-WORDS, NUM, DEN, BUCKET_BITS, BLOCK, BEST_ROUNDS, MAX_ROUNDS = 5, 4, 5, 18, 2000, 2, 100
+WORDS, NUM, DEN, BUCKET_BITS, BLOCK, BEST_ROUNDS, MAX_ROUNDS = 5, 4, 5, 18, 256, 2, 100
+#: Rows that a task puts into a shingle's common tile, and rows of each of its further tiles.
+OFTEN, TILE = 256, 1024
 
 
 def shingles(column: pa.Array, k: int = WORDS) -> list[np.ndarray]:
@@ -51,8 +58,19 @@ def shingles(column: pa.Array, k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def key_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+class Keys:
+    """64-bit keys of sets; the sets of a key in clash, which stands for several, are keyed with another seed."""
+
+    def __init__(self, clash: frozenset[int] = frozenset(), bits: int = 64):
+        self.clash, self.bits = clash, bits
+
+    def __call__(self, s: np.ndarray) -> int:
+        key = (xxhash.xxh3_64_intdigest(s.tobytes()) >> (64 - self.bits)) - (1 << (self.bits - 1))
+        return xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) - (1 << 63) if key in self.clash else key
+
+    @staticmethod
+    def check(s: np.ndarray) -> int:
+        return xxhash.xxh3_64_intdigest(s.tobytes(), seed=2) - (1 << 63)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -80,41 +98,90 @@ def prefix_length(n: int) -> int:
     return n - -(-n * NUM // DEN) + 1
 
 
-def _profile(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, fp, bits) and of bucket counts (bucket, texts)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "fp", "bits", "bucket", "texts"]
+def _profile(docs: DataFrame, keys: Keys) -> DataFrame:
+    """Rows of documents (doc_id, n, fp, check, bits, s) and of bucket counts (bucket, texts); a task gives bits and s of a set once."""
+    kind = docs.schema["doc_id"].dataType
+    names = ["doc_id", "n", "fp", "check", "bits", "s", "bucket", "texts"]
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types)], names=names)
 
     def run(batches):
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts, seen = np.zeros(1 << BUCKET_BITS, np.int64), set()
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingles(part.column("text"))
                 n = [len(s) for s in sets]
                 if sum(n):
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-                fp = [key_of(s) if len(s) else None for s in sets]
-                bits = [bitmap(s) if len(s) else None for s in sets]
-                none = [None] * len(n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bits, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.int64())], names=names)
+                fp, check, bits, arrays = [], [], [], []
+                for s in sets:
+                    fp.append(keys(s) if len(s) else None)
+                    check.append(keys.check(s) if len(s) else None)
+                    new = len(s) > 0 and (fp[-1], check[-1]) not in seen
+                    if new:
+                        seen.add((fp[-1], check[-1]))
+                    bits.append(bitmap(s) if new else None)
+                    arrays.append(s.tobytes() if new else None)
+                yield rows(len(n), doc_id=part.column("doc_id"), n=pa.array(n, pa.int64()), fp=pa.array(fp, pa.int64()), check=pa.array(check, pa.int64()), bits=pa.array(bits, pa.binary()), s=pa.array(arrays, pa.binary()))
         used = np.flatnonzero(counts)
         for a in range(0, len(used), 50_000):
             some = used[a : a + 50_000]
-            none = pa.nulls(len(some))
-            yield pa.RecordBatch.from_arrays([none.cast(key_type), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(some, pa.int32()), pa.array(counts[some])], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, fp long, bits binary, bucket int, texts long")
-
-
-def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, fp and n for the rarest shingles of each set; each set once in a task."""
+            yield rows(len(some), bucket=pa.array(some), texts=pa.array(counts[some]))
+
+    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, fp long, check long, bits binary, s binary, bucket int, texts long").withColumn("row", F.monotonically_increasing_id())
+
+
+def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, Keys]:
+    """The profile, one row for each different set (fp, rep, n, row of its array, bits), and the keys used."""
+    keys = Keys(bits=bits)
+    for _ in range(2):
+        profile = write_shared(_profile(docs, keys), "jaccard-profile")
+        full = profile.where("fp is not null")
+        held = F.when(F.col("s").isNotNull(), F.col("row"))
+        classes = write_shared(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.min(held).alias("row"), F.min("check").alias("c0"), F.max("check").alias("c1")), "jaccard-classes")
+        twice = [r["fp"] for r in classes.where("c0 != c1").select("fp").limit(100_001).collect()]  # none, or a few at 10**10 sets
+        if not twice:
+            return profile, classes.drop("c0", "c1"), keys
+        if keys.clash or len(twice) > 100_000:
+            break
+        drop_shared(profile, classes)
+        keys = Keys(frozenset(twice), bits)
+    raise RuntimeError("different sets have the same keys")
+
+
+class _Places:
+    """Which tile a row goes to. A token that the task has met OFTEN times goes on in tiles of TILE rows, numbered by the task."""
+
+    def __init__(self, often: int = OFTEN, tile: int = TILE):
+        self.often, self.tile, self.met, self.exact = often, tile, np.zeros(1 << 20, np.int32), {}
+        context = TaskContext.get()
+        self.base = (context.partitionId() if context else 0) << 32
+
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tile of each token's row, 0 the common one; and which rows stand in the common tile as well."""
+        place, firsts = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        bucket = (tokens >> np.uint64(44)).astype(np.int64)
+        self.met += np.bincount(bucket, minlength=1 << 20).astype(np.int32)
+        for i in np.flatnonzero(self.met[bucket] > self.often).tolist():  # from here on this token's rows are counted exactly
+            token = int(tokens[i])
+            k = self.exact[token] = self.exact.get(token, -1) + 1
+            if k >= self.often:
+                place[i] = self.base + 1 + (k - self.often) // self.tile
+                firsts[i] = (k - self.often) % self.tile == 0
+        return place, firsts
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray, keys: Keys, often: int = OFTEN, tile: int = TILE) -> DataFrame:
+    """token, tile, again, fp and n for the rarest shingles of each set; each set once in a task, again: a second row in the common tile."""
     sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 20) - 1).astype(np.uint32))
 
     def run(batches):
-        rare, seen = sent.value, set()
+        rare, seen, places = sent.value, set(), _Places(often, tile)
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, fps, ns = [], [], []
@@ -122,7 +189,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     n = len(s)
                     if n * (DEN - NUM) < NUM:  # below this size only equal sets are similar enough
                         continue
-                    fp = key_of(s)
+                    fp = keys(s)
                     if fp in seen:
                         continue
                     seen.add(fp)
@@ -132,19 +199,15 @@ def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     fps.append(np.full(p, fp))
                     ns.append(np.full(p, n))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(fps).astype(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], names=["token", "fp", "n"])
+                    token, fp, n = np.concatenate(tokens), np.concatenate(fps).astype(np.int64), np.concatenate(ns).astype(np.int64)
+                    place, firsts = places(token)
+                    token, again = token.view(np.int64), np.zeros(len(token), bool)
+                    if firsts.any():
+                        token, fp, n = (np.concatenate([x, x[firsts]]) for x in (token, fp, n))
+                        place, again = np.concatenate([place, np.zeros(int(firsts.sum()), np.int64)]), np.concatenate([again, np.ones(int(firsts.sum()), bool)])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, place, again, fp, n)], names=["token", "tile", "again", "fp", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, fp long, n long")
-
-
-def _arrays(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [s for s in shingles(part.column("text")) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "s"])
-
-    return docs.select("text").mapInArrow(run, "fp long, s binary")
+    return docs.select("text").mapInArrow(run, "token long, tile long, again boolean, fp long, n long")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -164,15 +227,11 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """Those pairs that are similar, by exact intersection."""
-    pairs = write_shared(pairs, f"{label}-pairs")
+def _decided(pairs: DataFrame, classes: DataFrame, profile: DataFrame, label: str) -> DataFrame:
+    """Those pairs (a written table) that are similar, by exact intersection."""
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = classes.join(ends, "fp", "left_semi")
-    named = _arrays(docs.join(wanted.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    # a class of rows without doc_id is fetched by its key
-    nameless = _arrays(docs.where("doc_id is null")).join(wanted.where("rep is null").select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    sets = write_shared(named.union(nameless), f"{label}-sets")
+    wanted = classes.select("fp", "row").join(ends, "fp", "left_semi")
+    sets = write_shared(profile.where("s is not null").select("row", "s").join(wanted, "row").select("fp", "s"), f"{label}-sets")
 
     def run(batches):
         for batch in batches:
@@ -186,7 +245,9 @@ def _decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}"))
-    return write_shared(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"), f"{label}-links")
+    links = write_shared(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"), f"{label}-links")
+    drop_shared(sets)
+    return links
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -221,10 +282,10 @@ def contracted(labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
 def _tiles(prefixes: DataFrame) -> DataFrame:
     """Tiles with two or more sets: each row with the one before it and the first of its band."""
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM)).cast("int")
-    w = W.partitionBy("token").orderBy("band", "n", "fp")
+    w = W.partitionBy("token", "tile").orderBy("band", "n", "fp", "again")
     rows = prefixes.withColumn("band", band).withColumn("same", F.lag("fp").over(w)).where("same is null or same != fp")
-    rows = rows.withColumns({"p": F.lag("fp").over(w), "p_n": F.lag("n").over(w), "after": F.lead("fp").over(w), "v": F.first("fp").over(W.partitionBy("token", "band").orderBy("n", "fp"))})
-    return rows.where("p is not null or after is not null").select("token", "fp", "n", "p", "p_n", "v")
+    rows = rows.withColumns({"p": F.lag("fp").over(w), "p_n": F.lag("n").over(w), "after": F.lead("fp").over(w), "v": F.first("fp").over(W.partitionBy("token", "tile", "band").orderBy("n", "fp", "again"))})
+    return rows.where("p is not null or after is not null or tile != 0").select("token", "again", "fp", "n", "p", "p_n", "v")
 
 
 def _near_pairs(tiles: DataFrame) -> DataFrame:
@@ -233,12 +294,26 @@ def _near_pairs(tiles: DataFrame) -> DataFrame:
     return first.select("a", "b").union(by("v").select("a", "b")).distinct()
 
 
-def _cross_pairs(tiles: DataFrame, labels: DataFrame, classes: DataFrame, block: int = BLOCK, best: bool = False) -> DataFrame:
-    """Pairs of different groups in the same tile that sizes and bitmaps leave open; with best, for each row the nearest only."""
-    rows = tiles.select("token", "fp", "n").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 != l1 and m > 2").select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "fp", "n", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _mixed(tiles: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Rows (token, fp, n, label) of the tokens whose sets are in more than one group, each set once."""
+    rows = tiles.where("not again").select("token", "fp", "n").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 != l1 and m > 2").select("token")
+    return write_shared(rows.join(mixed, "token").distinct(), f"{name}-mixed")  # several tasks may have met a set
+
+
+def _cross_pairs(rows: DataFrame, classes: DataFrame, block: int = BLOCK, best: bool = False) -> DataFrame:
+    """Pairs of different groups with the same token that sizes and bitmaps leave open; with best, for each row the nearest only.
+
+    The rows of a token are dealt into blocks of about block rows. A group of block rows or more has blocks of its own,
+    which meet all blocks but those; the rows of smaller groups share blocks, which meet all."""
+    by = W.partitionBy("token")
+    own = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).withColumn("large", F.col("c") >= block)
+    own = own.withColumn("k", F.when(F.col("large"), F.ceil(F.col("c") / block)).otherwise(0))
+    own = own.withColumns({"before": F.sum("k").over(by.orderBy("label")) - F.col("k"), "larges": F.sum("k").over(by), "shared": F.ceil(F.sum(F.when(~F.col("large"), F.col("c")).otherwise(0)).over(by) / block)})
+    own = own.select("token", "label", "large", F.when(F.col("large"), F.col("before")).otherwise(F.col("larges")).alias("first"), F.when(F.col("large"), F.col("k")).otherwise(F.col("shared")).alias("k"), (F.col("larges") + F.col("shared")).alias("blocks"))
+    placed = rows.join(own, ["token", "label"]).withColumn("own", (F.col("first") + F.pmod(F.xxhash64("fp"), "k")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: ~F.col("large") | (x < F.col("first")) | (x >= F.col("first") + F.col("k")))
+    rows = placed.withColumn("other", F.explode(others)).withColumn("other", F.col("other").cast("int")).select("token", "fp", "n", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.join(classes.select("fp", "bits"), "fp")
 
     def run(batches):
@@ -308,32 +383,42 @@ def folded_rows(bits: list[bytes], words: np.ndarray, w: int) -> tuple[np.ndarra
     return np.array([folded(np.frombuffer(bits[x], np.uint64), w) for x in use.tolist()]), place
 
 
-def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, fp) of docs (doc_id, text), and for each fp its group's label and component_id, null if no row has a doc_id."""
+def _groups(docs: DataFrame, *, key_bits: int = 64, block: int = BLOCK, often: int = OFTEN, tile: int = TILE) -> tuple[DataFrame, DataFrame, Keys]:
+    """Rows (doc_id, n, fp) of docs (doc_id, text); for each fp its group's label and component_id, null if no row has a doc_id; the keys."""
     docs = docs.select("doc_id", "text")
-    profile = write_shared(_profile(docs), "jaccard-profile")
+    profile, classes, keys = _classes(docs, key_bits)
     found = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("texts").alias("texts")).toPandas()  # at most 2**18 rows
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     counts[found["bucket"].to_numpy()] = found["texts"].to_numpy()
-    own = profile.where("bucket is null")
-    full = own.where("fp is not null")
-    classes = write_shared(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "jaccard-classes")
-    tiles = write_shared(_tiles(_prefixes(docs, counts)), "jaccard-tiles")
+    own = profile.where("bucket is null").select("doc_id", "n", "fp")
+    tiles = write_shared(_tiles(_prefixes(docs, counts, keys, often, tile)), "jaccard-tiles")
     near = write_shared(_near_pairs(tiles), "jaccard-near")
-    links = _decided(_bounded(near, classes), classes, docs, "jaccard-near")
+    open_ = write_shared(_bounded(near, classes), "jaccard-open")
+    links = _decided(open_, classes, profile, "jaccard-near")
     labels = components(links, "jaccard-near")
-    decided = near
+    decided = [near]
+
+    def across(name: str, best: bool) -> DataFrame:
+        """labels after the links among the pairs of different groups that are not decided yet."""
+        mixed = _mixed(tiles, labels, name)
+        pairs = _cross_pairs(mixed, classes, block, best)
+        for known in decided:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = write_shared(pairs, name)
+        out = contracted(labels, _decided(pairs, classes, profile, name), name)
+        drop_shared(mixed)
+        decided.append(pairs)
+        return out
+
     for k in range(BEST_ROUNDS):
-        best = write_shared(_cross_pairs(tiles, labels, classes, best=True).join(decided, ["a", "b"], "left_anti"), f"jaccard-best{k}")
-        labels = contracted(labels, _decided(best, classes, docs, f"jaccard-best{k}"), f"jaccard-best{k}")
-        decided = decided.union(best)
-    rest = _cross_pairs(tiles, labels, classes).join(decided, ["a", "b"], "left_anti")
-    labels = contracted(labels, _decided(rest, classes, docs, "jaccard-rest"), "jaccard-rest")
+        labels = across(f"jaccard-best{k}", True)
+    labels = across("jaccard-rest", False)
+    drop_shared(tiles, open_, *decided)
     named = classes.select("fp", "rep").join(labels.select(F.col("node").alias("fp"), "label"), "fp")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = write_shared(named.join(least, "label").select("fp", "label", "component_id"), "jaccard-groups")
     every = classes.select("fp", "rep").join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "rep").alias("component_id"))
-    return own.select("doc_id", "n", "fp"), every
+    return own, every, keys
 
 
 def _named(own: DataFrame, every: DataFrame) -> DataFrame:
@@ -341,34 +426,41 @@ def _named(own: DataFrame, every: DataFrame) -> DataFrame:
     return grouped.union(own.where("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def join_groups(docs: DataFrame) -> DataFrame:
+def join_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id of docs (doc_id, text)."""
-    return _named(*_groups(docs))
+    own, every, _ = _groups(docs, **options)
+    return _named(own, every)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of each text's set as the last column, __fp."""
+def _keyed(docs: DataFrame, text: str, keys: Keys) -> DataFrame:
+    """docs with the key of each text's set as the last column, fp."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                fp = [key_of(s) if len(s) else None for s in shingles(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp, pa.int64())], names=[*part.schema.names, "__fp"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with the document of the least doc_id of each group, once.
-
-    A group without any doc_id keeps one row, that of the least text; rows without doc_id and without words are groups of their own."""
-    own, every = _groups(docs)
-    firsts = _named(own, every).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    nameless = _keyed(docs.where("doc_id is null"))
-    alone = every.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("label").alias("__group"))
-    one = nameless.join(alone, "__fp").groupBy("__group").agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("x")).select("x.*")
-    return kept.select(*docs.columns).union(one).union(nameless.where("__fp is null").drop("__fp"))
+            for part in slices(batch, text):
+                fp = [keys(s) if len(s) else None for s in shingles(part.column(text))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp, pa.int64())], names=[*part.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each group: that of its least doc_id, or of its least key if it has none.
+
+    Rows are decided one by one: of a doc_id that stands on several texts, each is kept or dropped with its own group.
+    Rows without words are groups of their own; those of one doc_id are kept once, those without doc_id all."""
+    own, every, keys = _groups(docs, **options)
+    best = own.where("fp is not null").join(every, "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
+    first = best.select(F.struct("x.doc_id", "x.fp").alias("id"), F.lit(True).alias("first"))
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # the caller's names can't clash with ours
+    key, text = (inner[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = _keyed(docs.toDF(*inner), text, keys).withColumn("id", F.struct(F.col(key).alias("doc_id"), "fp"))
+    alone = F.col("fp").isNull()
+    kept = rows.join(first, "id", "left").where(F.col("first") | alone)
+    # repeated rows of one doc_id and set are one; nameless rows without words keep numbers of their own
+    number = F.when(alone & F.col(key).isNull(), F.monotonically_increasing_id())
+    one = kept.withColumn("number", number).groupBy("id", "number").agg(F.min_by(F.struct(*inner), F.coalesce(text, F.lit(""))).alias("x"))
+    return one.select(*[F.col("x")[c].alias(name) for c, name in zip(inner, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
