@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy scan covers; work arrays take about 40 times as much.
 SLICE_BYTES = 1 << 20
@@ -176,3 +177,26 @@ def sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of flags over each [off[i], off[i+1])."""
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[off[1:]] - total[off[:-1]]
+
+
+def sample(docs: DataFrame, some: DataFrame, features, extra: str) -> DataFrame:
+    """One row for each (doc_id, quality) of some (bounded, so it is broadcast): of the texts of a doc_id, that of the smallest hash.
+
+    features(part) gives for each text, or row of part, its columns, named in extra; rows are in order of the hash of doc_id."""
+    names = [x.split(" ")[0] for x in extra.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), part.column("h"), *features(part.column("text"))], names=["doc_id", "quality", "h", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")
+    found = rows.mapInArrow(run, f"doc_id {kind}, quality int, h long, {extra}")
+    return found.groupBy("doc_id", "quality").agg(F.min_by(F.struct(*names), "h").alias("x")).select("doc_id", "quality", "x.*").orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+
+
+def labelled(labels: DataFrame, max_train: int) -> DataFrame:
+    """At most max_train different (doc_id, quality) rows, those of the smallest hashes of doc_id."""
+    own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)

@@ -10,14 +10,18 @@ a prefix scan doubles its reach in each step; at the first line of a text the tr
 nothing passes from one text to the next.
 
 Labels are learnt from at most ``max_train`` labelled rows outside the held-out fold (the smallest hashes
-of doc_id); a line starts with its document's label, and lines of bad documents that the first fit takes
-for good ones are relabelled before the second. Labels, lang, source and doc_id are never inputs.
+of doc_id), of which those are taken, in this order, whose lines fit into ``max_lines``; texts are taken whole or not
+at all. Of rows that share a doc_id, the one with the smallest hash of its text counts. A line starts with its
+document's label, and lines of bad documents that the first fit takes for good ones are relabelled before the second.
+The likelihood is convex; BFGS steps from a Fisher preconditioner stop when it no longer rises. Labels, lang, source
+and doc_id are never inputs.
 
 Scale: one narrow pass over whole texts, no shuffle; sample ids (bounded) and weights are broadcast. The
-fit takes all lines of its texts to the driver, some hundred bytes each; messages are kept for a block of texts.
+fit takes at most max_lines lines to the driver, 35 four-byte values each (42 MB); messages are kept for a block of texts.
 
 Defined results: texts without a non-empty line get the share of good documents in the sample (1 without
-a sample); repeated rows are rows of their own; null doc_ids are not held out; extra columns are ignored.
+a sample); repeated rows are rows of their own; null doc_ids are not held out; extra columns stay as they are, but
+score() replaces columns named score and predicted.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LINES, SPACED, Scan, flat, slices, sums, table
+from .common import LINES, SPACED, Scan, drop_shared, flat, labelled, sample, slices, sums, table, write_shared
 from .quality_rules import class_counts, repeated_words
 
-MAX_TRAIN, FOLDS, THRESHOLD, BLOCK_LINES = 4000, 5, 0.3, 1 << 18
+MAX_TRAIN, MAX_LINES, FOLDS, THRESHOLD, BLOCK_LINES = 4000, 300_000, 5, 0.3, 1 << 18
 N_OWN = 11
 
 
@@ -135,20 +140,52 @@ def curve(mean: np.ndarray, c: tuple[float, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(c[0] + c[1] * z, -30, 30)))
 
 
-def _fit_lines(x, y, doc, rounds: int = 250, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood of the line labels by Adam."""
-    xb = np.column_stack([np.ones(len(x)), x])
-    theta = np.zeros(xb.shape[1] + 4)
+def log_likelihood(good: np.ndarray, pair: np.ndarray, y: np.ndarray, inside: np.ndarray) -> float:
+    """Of labels y, from the marginals: a chain's probability is that of its first label times those of each next one given the last."""
+    own = np.where(y == 1, good, 1 - good)
+    step = np.flatnonzero(inside)
+    total = np.log(np.maximum(own[~inside], 1e-300)).sum()
+    return total + np.log(np.maximum(pair[step, y[step - 1], y[step]], 1e-300)).sum() - np.log(np.maximum(own[step - 1], 1e-300)).sum()
+
+
+def _fit_lines(x, y, doc, rounds: int = 60, ridge: float = 1e-3, enough: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood of the line labels with a ridge: BFGS, the step halved until the loss falls."""
+    xb = np.column_stack([np.ones(len(x), x.dtype), x])
     inside = np.zeros(len(y), bool)
     inside[1:] = doc[1:] == doc[:-1]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:-1][inside[1:]], y[1:][inside[1:]]), 1)
-    m = v = np.zeros_like(theta)
-    for t in range(1, rounds + 1):
-        good, pair = forward_backward(xb @ theta[:-4], theta[-4:].reshape(2, 2), doc)
-        grad = np.concatenate([xb.T @ (good - y), (pair.sum(0) - seen).ravel()]) / len(y) + ridge * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+
+    def loss(theta):
+        good, pair = forward_backward((xb @ theta[:-4].astype(xb.dtype)).astype(float), theta[-4:].reshape(2, 2), doc)
+        value = -log_likelihood(good, pair, y, inside) / len(y) + ridge / 2 * theta @ theta
+        return value, np.concatenate([xb.T @ (good - y).astype(xb.dtype), (pair.sum(0) - seen).ravel()]) / len(y) + ridge * theta, good
+
+    theta = np.zeros(xb.shape[1] + 4)
+    value, grad, good = loss(theta)
+    # of lines that don't depend on each other, and of pairs alike: where the steps' metric starts from
+    fisher = xb.T @ (xb * (good * (1 - good)).astype(xb.dtype)[:, None]) / len(y)
+    inverse = np.eye(len(theta))
+    inverse[:-4, :-4] = np.linalg.inv(fisher + (ridge + 1e-3) * np.eye(len(fisher)))
+    for _ in range(rounds):
+        way = -inverse @ grad
+        slope = way @ grad
+        size = 1.0
+        while size > 1e-6:
+            new = theta + size * way
+            new_value, new_grad, _ = loss(new)
+            if new_value <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, d = new - theta, new_grad - grad
+        theta, grad, fell, value = new, new_grad, value - new_value, new_value
+        if fell < enough * max(abs(value), 1e-3):
+            break
+        if (sd := s @ d) > 1e-12:
+            hd = inverse @ d
+            inverse += ((sd + d @ hd) / sd**2) * np.outer(s, s) - (np.outer(hd, s) + np.outer(s, hd)) / sd
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
@@ -185,46 +222,65 @@ def fold(key) -> F.Column:
     return F.crc32(key.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Model:
-    """From at most max_train labelled rows, with all lines of each."""
-    own = labels.where((fold(F.col("doc_id")) != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    some = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)  # a documented bound, so it can be broadcast
-
-    def features(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x, doc, size = line_features(part.column("text"))
-                for d, q in enumerate(part.column("quality").to_pylist()):
-                    rows = np.flatnonzero(doc == d)
-                    if len(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([x[rows].astype("<f4").tobytes()]), pa.array([size[rows].astype("<i8").tobytes()])], names=["quality", "x", "size"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text").mapInArrow(features, "quality int, x binary, size binary").toPandas().iloc[: 2 * max_train]
-    if not len(rows):
-        return train(np.zeros((0, 3 * N_OWN + 2)), np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
-    size = [np.frombuffer(s, "<i8") for s in rows["size"]]
-    x = np.vstack([np.frombuffer(b, "<f4").reshape(len(s), -1) for b, s in zip(rows["x"], size)]).astype(float)
-    doc = np.repeat(np.arange(len(rows)), [len(s) for s in size])
-    label = rows["quality"].to_numpy(int)
+def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> Model:
+    """From at most max_train labelled rows and max_lines lines; a text counts with all its lines or not at all."""
+
+    def features(texts):
+        x, doc, size = line_features(texts)
+        edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+        parts = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        x, size = x.astype("<f4"), size.astype("<i8")
+        return pa.array([b - a for a, b in parts], pa.int64()), pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([size[a:b].tobytes() for a, b in parts], pa.binary())
+
+    some = labelled(labels.where(fold(F.col("doc_id")) != 0), max_train)
+    kept = write_shared(sample(docs, some, features, "lines long, x binary, size binary"), "quality-sample")
+    order = [F.xxhash64("doc_id"), "doc_id", "quality"]
+    chosen, total = [], 0
+    for r in kept.where("lines > 0").select("doc_id", "quality", "lines").orderBy(*order).collect():  # at most max_train rows
+        if total + r["lines"] <= max_lines:
+            total += r["lines"]
+            chosen.append((r["doc_id"], r["quality"]))
+    if not chosen:
+        drop_shared(kept)
+        return train(np.zeros((0, 3 * N_OWN + 2), np.float32), np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
+    wanted = docs.sparkSession.createDataFrame(chosen, kept.select("doc_id", "quality").schema)
+    rows = kept.join(F.broadcast(wanted), ["doc_id", "quality"], "left_semi").orderBy(*order).select("quality", "x", "size").collect()
+    drop_shared(kept)
+    size = [np.frombuffer(r["size"], "<i8") for r in rows]
+    x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(len(n), -1) for r, n in zip(rows, size)])
+    doc = np.repeat(np.arange(len(rows)), [len(n) for n in size])
+    label = np.array([r["quality"] for r in rows])
     return train(x, label[doc], doc, np.concatenate(size), label)
 
 
-def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted added."""
+def _scored(docs: DataFrame, text: str, model: Model, threshold: float) -> DataFrame:
+    """docs, none of whose columns is named score or predicted, with both added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.select(*[f"`{c}`" for c in kept]).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                x, doc, size = line_features(part.column("text"))
+            for part in slices(batch, text):
+                x, doc, size = line_features(part.column(text))
                 s = sent.value.documents(x, doc, size, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def score(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with score and predicted added, in place of columns of these names."""
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    inner = [f"c{i}" for i in range(len(kept))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)])
+    return _scored(plain, inner[kept.index("text")], model, threshold).toDF(*kept, "score", "predicted")
+
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+def good_ones(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model takes for good ones, with the columns they have."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # the caller's names can't clash with ours
+    found = _scored(docs.toDF(*inner), inner[docs.columns.index("text")], model, threshold).where("predicted = 1")
+    return found.select(*inner).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 r"""Quality rules: statistics of whole documents, and gradient-boosted trees over them.
 
-The base statistics are exact counts over the words [^\x20\x09-\x0D]+ and the \n-split lines of a text.
+The base statistics are counts over the words [^\x20\x09-\x0D]+ and the \n-split lines of a text; equal lines and
+word windows of one text are told by 64-bit hashes.
 Trees are grown on the driver from a bounded sample of labelled documents (``max_train`` rows, the ones
-with the smallest hash of doc_id), with splits that keep the score from rising in the features named in
+with the smallest hash of doc_id; of rows that share one, that of the smallest text hash), with splits that keep the score from rising in the features named in
 FALLING. They are flattened into numpy node arrays and score a whole slice of documents at once.
 
 Scale: one narrow pass over the documents, no shuffle. The sample's ids (at most ``max_train``) are
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LINES, SPACED, Scan, flat, mix, slices, sums, table
+from .common import LINES, SPACED, Scan, flat, labelled, mix, sample, slices, sums, table
 
 MAX_TRAIN, TREES, DEPTH, RATE, BINS, KEEP_FROM = 4000, 60, 3, 0.15, 48, 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -153,19 +154,12 @@ def boost(x: np.ndarray, y: np.ndarray, falling: tuple[int, ...], trees: int = T
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Trees:
     """Trees from at most max_train labelled rows of docs (doc_id, text)."""
-    own = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    some = own.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)  # a documented bound, so it can be broadcast
+    def features(texts):
+        return (pa.array(list(statistics(texts)["features"]), pa.list_(pa.float64())),)
 
-    def features(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x = statistics(part.column("text"))["features"]
-                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text").mapInArrow(features, "quality int, x array<double>").toPandas()
-    rows = rows.iloc[: 2 * max_train]
-    x = np.array(rows["x"].tolist()) if len(rows) else np.zeros((0, len(FEATURES)))
-    return boost(x, rows["quality"].to_numpy(float), tuple(FEATURES.index(f) for f in FALLING))
+    rows = sample(docs, labelled(labels, max_train), features, "x array<double>").select("quality", "x").collect()  # at most max_train rows
+    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, len(FEATURES)))
+    return boost(x, np.array([r["quality"] for r in rows], float), tuple(FEATURES.index(f) for f in FALLING))
 
 
 def apply(docs: DataFrame, trees: Trees, *, keep_from: float = KEEP_FROM) -> DataFrame:
