@@ -3,13 +3,17 @@ r"""Secret scans with multipart credential linking.
 Strong parts are reported wherever they stand: key assignments, access identifiers and long hex runs.
 Weak parts - account names, endpoints and unlabelled high-entropy tokens - say little alone. All parts
 of a text are intervals; an interval join inside each scope (the text, parts at most REACH code points
-apart) links a weak part with complementary parts, and it is reported only if the link holds:
+apart) links a weak part with complementary parts, which are of another kind and don't overlap it, and it
+is reported only if one of its sets of complements is whole:
 
-* ``token`` (mixed-class run of 20+ characters) needs an access identifier or account with an endpoint,
-  or one of those two and an assignment;
-* ``account`` and ``endpoint`` need a strong secret (assignment, hex run or access identifier) in reach.
+* ``token`` (mixed-class run of 20+ characters): a name (access identifier or account) and an endpoint, a name and
+  an assignment, or an endpoint and an assignment;
+* ``account``: an assignment, or an endpoint and a secret (hex run or token);
+* ``endpoint``: a name and a secret (assignment, hex run or token).
 
-The join sorts each kind once and bisects, so a text with k parts takes k log k steps, never k * k.
+So the address of a page that holds or stands near a hash is not reported for that.
+
+The join sorts the ends of each kind once and bisects, so a text with k parts takes k log k steps, never k * k.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are rows of their own;
 other columns are ignored. Spans count code points, the end exclusive.
@@ -20,12 +24,12 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 REACH = 400
 KINDS = ("assign", "access", "hex", "account", "endpoint", "token")
@@ -53,37 +57,58 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-class _Starts:
-    """Intervals of some kinds, ready for 'is one within reach of this interval'."""
+#: For each weak kind, sets of complements; of each member of a set one kind must be in reach.
+_NAME, _SECRET, _BARE = ("access", "account"), ("assign", "hex", "token"), ("hex", "token")
+COMPLEMENTS = {
+    "token": ((_NAME, ("endpoint",)), (_NAME, ("assign",)), (("endpoint",), ("assign",))),
+    "account": ((("assign",),), (("endpoint",), _BARE)),
+    "endpoint": ((_NAME, _SECRET),),
+}
+
+
+class _Intervals:
+    """Intervals of one kind, ready for 'does one lie beside this interval, within reach and without overlap'."""
 
     def __init__(self, spans):
-        own = sorted((a, b) for _, a, b in spans)
-        self.starts = [a for a, _ in own]
-        self.ends = list(accumulate((b for _, b in own), max))  # running maximum
+        self.starts, self.ends = sorted(a for _, a, _ in spans), sorted(b for _, _, b in spans)
 
-    def near(self, a: int, b: int, reach: int) -> bool:
-        k = bisect_left(self.starts, b + reach + 1)  # of those that start early enough, one must end late enough
-        return k > 0 and self.ends[k - 1] >= a - reach
+    def beside(self, a: int, b: int, reach: int) -> bool:
+        left, right = bisect_left(self.ends, a - reach), bisect_left(self.starts, b)
+        return left < len(self.ends) and self.ends[left] <= a or right < len(self.starts) and self.starts[right] <= b + reach
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, int, int]]:
     """Weak parts whose complements co-occur."""
     if ":" not in text and "=" not in text and "." not in text:
         return []
-    taken = _Starts(base)
-    free = lambda m: not taken.near(m.start() + 1, m.end() - 1, 0)
     accounts = [("account", *m.span()) for m in ACCOUNT.finditer(text)]
     endpoints = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    access = [s for s in base if s[0] == "access"]
     if not base and not (accounts and endpoints):
         return []
-    classes = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
-    tokens = [("token", *m.span()) for m in TOKEN.finditer(text) if all(c.search(m[0]) for c in classes) and free(m)]
-    strong, named, placed, assigned = _Starts(base), _Starts(accounts + access), _Starts(endpoints), _Starts([s for s in base if s[0] == "assign"])
-    out = [s for s in accounts + endpoints if strong.near(s[1], s[2], reach)]
-    for s in tokens:
-        n, p, a = (x.near(s[1], s[2], reach) for x in (named, placed, assigned))
-        if n and p or (n or p) and a:
+    weak = accounts + endpoints + _tokens(text, base)
+    by: dict[str, list] = {k: [] for k in KINDS}
+    for s in base + weak:
+        by[s[0]].append(s)
+    parts = {k: _Intervals(x) for k, x in by.items()}
+    near = lambda s, kinds: any(parts[k].beside(s[1], s[2], reach) for k in kinds)
+    return [s for s in weak if any(all(near(s, kinds) for kinds in whole) for whole in COMPLEMENTS[s[0]])]
+
+
+_LOWER, _UPPER, _DIGIT = re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]")
+
+
+def _tokens(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs of letters of both cases and digits that overlap no strong part."""
+    found = [("token", *m.span()) for m in TOKEN.finditer(text) if all(c.search(m[0]) for c in (_LOWER, _UPPER, _DIGIT))]
+    if not found or not base:
+        return found
+    strong = sorted((a, b) for _, a, b in base)
+    out, k, end = [], 0, 0
+    for s in found:  # in order, as the strong parts are
+        while k < len(strong) and strong[k][0] < s[2]:
+            end = max(end, strong[k][1])
+            k += 1
+        if end <= s[1]:
             out.append(s)
     return out
 
@@ -97,15 +122,17 @@ def scan(docs: DataFrame, *, text: str = "text", key: str = "doc_id", reach: int
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for x in batch.column(1).to_pylist():
-                base = base_spans(x) if x else []
-                weak = linked_spans(x, base, reach) if x else []
-                kinds = [s[0] for s in base]
-                rows.append((*map(kinds.count, KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + weak), len(weak)))
-            cols = list(zip(*rows)) or [()] * 6
-            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"])
+            for part in slices(batch, text):
+                rows = []
+                for x in part.column(1):
+                    x = x.as_py()
+                    base = base_spans(x) if x else []
+                    weak = linked_spans(x, base, reach) if x else []
+                    kinds = [s[0] for s in base]
+                    rows.append((*map(kinds.count, KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + weak), len(weak)))
+                cols = list(zip(*rows))
+                types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
@@ -122,25 +149,29 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[removed
 
 
 def redact(docs: DataFrame, *, reach: int = REACH) -> DataFrame:
-    """docs with the secrets and linked parts of text replaced; n_chars, if there, follows."""
-    names = docs.columns
+    """docs with the secrets and linked parts of text replaced; n_chars, if there as a whole number, follows."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    size = next((i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and isinstance(f.dataType, T.IntegralType)), None)
 
     def run(batches):
         for batch in batches:
-            cols = {c: batch.column(c) for c in names}
-            texts, changed = [], []
-            for x in cols["text"].to_pylist():
-                spans = base_spans(x) if x else []
-                spans += linked_spans(x, spans, reach) if x else []
-                texts.append(redacted(x, spans) if spans else x)
-                changed.append(bool(spans))
-            if any(changed):
-                cols["text"] = pa.array(texts, pa.string())
-                if "n_chars" in cols:
-                    cols["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, cols["n_chars"].to_pylist())], cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
-
-    return docs.mapInArrow(run, docs.schema)
+            for part in slices(batch, inner[at]):
+                cols, texts, changed = list(part.columns), [], []
+                for x in cols[at]:
+                    x = x.as_py()
+                    spans = base_spans(x) if x else []
+                    spans += linked_spans(x, spans, reach) if x else []
+                    texts.append(redacted(x, spans) if spans else x)
+                    changed.append(bool(spans))
+                if any(changed):
+                    cols[at] = pa.array(texts, pa.string())
+                    if size is not None:
+                        cols[size] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, cols[size].to_pylist())], cols[size].type)
+                yield pa.RecordBatch.from_arrays(cols, names=inner)
+
+    plain = docs.toDF(*inner)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
