@@ -10,8 +10,9 @@ Pieces and scores are those of a public SentencePiece file (its path is a parame
 a first blank is put before the text). Characters outside the vocabulary stand alone and count as their
 UTF-8 bytes. Of equal scores, the path whose last piece is longest wins.
 
-Scale: one narrow pass, no shuffle: each Python worker keeps a trie and terminal counts bounded by
-``max_nodes`` and ``max_words``, and starts that one anew beyond its bound; results do not depend on it.
+Scale: one narrow pass, no shuffle: each Python worker keeps a trie and terminal counts bounded by ``max_nodes`` and
+``max_words``, inside one text too, and starts that one anew beyond its bound; results do not depend on it. Words longer
+than ``depth`` characters share their first ones; the rest is scored in a window of the longest piece and not kept.
 
 Defined results: null and empty texts have 0 pre-tokens and 0 tokens; repeated rows are rows of their
 own; extra columns are ignored.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-MAX_NODES, MAX_WORDS = 600_000, 1_200_000
+MAX_NODES, MAX_WORDS, DEPTH, LONG_TEXT = 600_000, 1_200_000, 64, 1 << 20
 BLANK = "▁"
 
 
@@ -52,9 +53,11 @@ class Trie:
 
     def _span(self, s: str) -> int:
         """Pieces of s, all of whose characters are single pieces or part of one."""
+        if len(self.best) > self.max_nodes:
+            self.next, self.best, self.count = {}, [0.0], [0]
         nxt, best, count, score, longest = self.next, self.best, self.count, self.score, self.longest
         node, path = 0, [0]
-        for j, c in enumerate(s, 1):
+        for j, c in enumerate(s[:DEPTH], 1):
             key = node << 21 | ord(c)
             node = nxt.get(key)
             if node is None:
@@ -66,9 +69,26 @@ class Trie:
                 best.append(top)
                 count.append(pieces)
             path.append(node)
-        if best[node] == float("-inf"):  # no segmentation: characters one by one
+        end = best[node], count[node]
+        if len(s) > DEPTH:
+            end = self._rest(s, [(best[n], count[n]) for n in path[-longest:]])
+        if end[0] == float("-inf"):  # no segmentation: characters one by one
             return sum(1 if c in score else len(c.encode()) for c in s)
-        return count[node]
+        return end[1]
+
+    def _rest(self, s: str, last: list[tuple[float, int]]) -> tuple[float, int]:
+        """Forward score and pieces of a long word, from those of its first DEPTH characters; the last few are kept."""
+        score, longest = self.score, self.longest
+        for j in range(DEPTH + 1, len(s) + 1):
+            top, pieces = float("-inf"), 0
+            first = j - len(last)
+            for i, (b, n) in enumerate(last, first):
+                if (v := score.get(s[i:j])) is not None and b + v > top:
+                    top, pieces = b + v, n + 1
+            last.append((top, pieces))
+            if len(last) > longest:
+                del last[0]
+        return last[-1]
 
     def insert(self, word: str) -> int:
         """Terminal count of a pre-token."""
@@ -85,25 +105,33 @@ class Trie:
                 total += len(c.encode())
         return total + (self._span("".join(run)) if run else 0)
 
+    def word_count(self, w: str) -> int:
+        """Terminal count of a pre-token as it stands in a text; kept unless it is very long."""
+        known = self.words.get(w)
+        if known is None:
+            known = self.insert(BLANK + w[1:] if w[0] == " " else w)
+            if len(w) <= DEPTH:
+                if len(self.words) >= self.max_words:
+                    self.words = {}
+                self.words[w] = known
+        return known
+
     def text(self, text: str | None) -> tuple[int, int]:
         """Pre-tokens and tokens of a text."""
         if not text:
             return 0, 0
+        if len(text) > LONG_TEXT:  # one word at a time
+            n = total = 0
+            for m in self.word.finditer(" " + text):
+                n, total = n + 1, total + self.word_count(m[0])
+            return n, total
         words = self.word.findall(" " + text)
         try:
             return len(words), sum(map(self.words.__getitem__, words))
         except KeyError:
-            self.learn(set(words))
-            return len(words), sum(map(self.words.__getitem__, words))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.best) > self.max_nodes:  # counts of known words stay
-            self.next, self.best, self.count = {}, [0.0], [0]
-        if len(self.words) > self.max_words:
-            self.words = {}
-        known = self.words
-        for w in sorted(w for w in words if w not in known):  # neighbours share prefixes
-            known[w] = self.insert(BLANK + w[1:] if w[0] == " " else w)
+            for w in set(words).difference(self.words):
+                self.word_count(w)
+            return len(words), sum(map(self.word_count, words))
 
 
 _tries: dict[str, Trie] = {}
