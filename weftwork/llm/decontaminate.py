@@ -97,25 +97,24 @@ class Items:
                     found[int(scan.doc[p])] |= items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (text, ...) with n_words, hits (list of [first, last) word spans) and items (list of item_ids as strings) added."""
+def _marked(docs: DataFrame, text: str, benchmark: DataFrame, window: int, gram: int, block_bytes: int) -> DataFrame:
+    """docs, whose columns are not named so, with n_words, hits and items added."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // (block_bytes // 2)))
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))]
-    taken = {"n_words", "hits", "items"}
-    kept = [c for c in docs.columns if c not in taken]
-    out = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(added[1].dataType), "items": F.array().cast(added[2].dataType)})
-    schema = T.StructType([*docs.select(*kept).schema.fields, *added])
+    kept = docs.columns
+    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(added[1].dataType), "items": F.array().cast(added[2].dataType)})
+    schema = T.StructType([*docs.schema.fields, *added])
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # at most about block_bytes
         sent = spark.sparkContext.broadcast(Items([tuple(r) for r in rows], window, gram))
 
         def run(batches, sent=sent):
             for batch in batches:
-                for part in slices(batch, "text"):
-                    scan = Scan(*flat(part.column("text")), ALNUM)
+                for part in slices(batch, text):
+                    scan = Scan(*flat(part.column(text)), ALNUM)
                     covered, found = np.zeros(len(scan.start), bool), defaultdict(set)
                     hits, names = part.column("hits").to_pylist(), part.column("items").to_pylist()
                     sent.value.hits(scan, covered, found)
@@ -139,6 +138,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return out
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (text, ...) with n_words, hits (list of [first, last) word spans) and items (list of item_ids as strings) added, in place of columns of these names."""
+    kept = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
+    inner = [f"c{i}" for i in range(len(kept))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)])
+    return _marked(plain, inner[kept.index("text")], benchmark, window, gram, block_bytes).toDF(*kept, "n_words", "hits", "items")
+
+
 def merged(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -167,29 +174,32 @@ def without(text: str, hits: list[list[int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without contaminated documents (two items or more); single items' passages are cut out of the others."""
-    names = docs.columns
-    found = decontaminate(docs, benchmark, **options).where(F.size("items") < 2)
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated documents (two items or more); single items' passages are cut out of the others.
+
+    All other columns stay as they are, whatever their names; n_chars, if there as a whole number, follows the text."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # the caller's names can't clash with ours
+    at = docs.columns.index("text")
+    size = next((i for i, f in enumerate(docs.schema.fields) if f.name == "n_chars" and isinstance(f.dataType, T.IntegralType)), None)
+    plain = docs.toDF(*inner)
+    found = _marked(plain, inner[at], benchmark, window, gram, block_bytes).where(F.size("items") < 2)
 
     def run(batches):
         for batch in batches:
-            cols = {c: batch.column(c) for c in names}
-            hits = batch.column("hits").to_pylist()
+            cols, hits = [batch.column(c) for c in inner], batch.column("hits").to_pylist()
             if any(hits):
-                texts = [without(t, h) if h else t for t, h in zip(cols["text"].to_pylist(), hits)]
-                cols["text"] = pa.array(texts, pa.string())
-                if "n_chars" in cols:
-                    size = [len(t) if h else n for t, h, n in zip(texts, hits, cols["n_chars"].to_pylist())]
-                    cols["n_chars"] = pa.array(size, cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+                texts = [without(t.as_py(), h) if h else t.as_py() for t, h in zip(cols[at], hits)]
+                cols[at] = pa.array(texts, pa.string())
+                if size is not None:
+                    cols[size] = pa.array([len(t) if h else n for t, h, n in zip(texts, hits, cols[size].to_pylist())], cols[size].type)
+            yield pa.RecordBatch.from_arrays(cols, names=inner)
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document the digest columns of the contract; contaminated from two items on."""
-    found = decontaminate(docs, benchmark, **options)
+    found = decontaminate(docs.select("doc_id", "text"), benchmark, **options)
     return found.select(
         "doc_id", "n_words",
         F.aggregate("hits", F.lit(0).cast("long"), lambda t, s: t + s[1] - s[0]).alias("n_hit"),

@@ -6,8 +6,9 @@ n-grams. Nystroem landmarks taken evenly from the languages give each text a sho
 kernel ridge regression gives each language a margin. Texts are scored in batches: a presence matrix
 times the landmarks' presence matrix, then times the folded map from kernel values to margins.
 
-Learning takes at most about ``per_lang`` rows of each language outside the held-out fold, chosen by a hash
-of doc_id; only text and non-null lang of those rows are used.
+Learning takes about ``per_lang`` rows of each language outside the held-out fold, chosen by a hash of doc_id, fewer
+where all languages would have more than ``max_train`` rows; of more than ``max_langs`` languages the commonest are
+learnt. Only text and non-null lang of those rows are used.
 
 Scale: two passes over narrow columns for the sample, one pass over whole texts, no shuffle but tiny
 counts; the broadcast model is fixed in size (landmarks x 2**16 bits).
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import flat, slices, table
 
-PER_LANG, LANDMARKS, RIDGE, BITS, BATCH, FOLDS, HELD = 400, 96, 1e-2, 16, 64, 4, 2
+PER_LANG, MAX_TRAIN, MAX_LANGS, LANDMARKS, RIDGE, BITS, BATCH, FOLDS, HELD = 400, 8000, 256, 96, 1e-2, 16, 64, 4, 2
 SPACE = 1 << BITS
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -112,11 +113,12 @@ def fold(key) -> F.Column:
     return F.crc32(key.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, *, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+def fit(docs: DataFrame, *, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, ridge: float = RIDGE, max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS) -> Model | None:
     own = docs.where((fold(F.col("doc_id")) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not counts:
         return None
+    per_lang = min(per_lang, max(1, max_train // len(counts)))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     most = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_lang / n))])
 
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, landmarks: int = LANDMARKS
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # about per_lang rows of a language, 8 KB each
+    # about max_train rows at most, 8 KB each
     rows = own.where(share < most[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(sets, f"doc_id {kind}, lang string, bits binary").toPandas().sort_values("doc_id", kind="stable")
     if not len(rows):
         return None

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 
 from .common import table, trim, write_shared
 
-WINDOW, END, CACHE_WORDS, BUCKET_ROWS, NNLS_ROUNDS = 2048, 1, 500_000, 50_000, 400
+WINDOW, END, CACHE_WORDS, BUCKET_ROWS, NNLS_ROUNDS, STARTS = 2048, 1, 500_000, 50_000, 400, 96
 
 # Pre-tokens of the tokenizer's own split over Latin text; anything else goes to the tokenizer whole.
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -113,13 +113,15 @@ def tokenise(docs: DataFrame, path: str, end: int = END, width: int = 4, ids_byt
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def patterns(counts: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Combinations of two or three lengths, and of one length repeated, that fill the window exactly."""
+def patterns(counts: np.ndarray, window: int, starts: int = STARTS) -> list[tuple[int, ...]]:
+    """Combinations of two or three lengths, and of one length repeated, that fill the window exactly.
+
+    Triples have two of the starts commonest lengths; what no pattern takes is packed greedily, so the bound drops no rows."""
     have = np.flatnonzero(counts)
     there = set(have.tolist())
     out = {(a, window - a) for a in there if window - a in there and a >= window - a}
     out |= {(a,) * (window // a) for a in there if window % a == 0 and window // a <= 8}
-    top = have[np.argsort(-counts[have], kind="stable")][:96]  # triples start from the most frequent lengths
+    top = have[np.argsort(-counts[have], kind="stable")][:starts]
     for i, a in enumerate(top.tolist()):
         for b in top[i:].tolist():
             if (c := window - a - b) > 0 and c in there:
