@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.llm import decontaminate, jaccard, language, packing, quality_crf, quality_rules, secrets, sharding, token_counts, warc
+from weftwork.llm import common, decontaminate, jaccard, language, packing, quality_crf, quality_rules, secrets, sharding, token_counts, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SYLLABLES = ["the", "an", "ti", "er", "ou", "re", "st", "é", "wh", "sh", "in", "Ü", "on"]
@@ -86,6 +86,16 @@ def test_decontaminate_cleans(spark):
     assert got == [(1, "Start ! end", 11), (2, "nothing", 7), (3, None, None)]
 
 
+def test_decontaminate_keeps_other_columns(spark):
+    rows = [(1, "Start a b c d e f g h end", "own", 7, "x", "12", 5), (2, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_words int, hits string, n_chars string, `a.b` int")
+    benchmark = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    got = decontaminate.clean(docs, benchmark)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "Start  end", "own", 7, "x", "12", 5), rows[1]]
+    assert decontaminate.decontaminate(docs, benchmark).where("doc_id = 1").select("n_words", "items").first() == (10, ["1"])
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     benchmark = spark.createDataFrame([], "item_id long, text string")
@@ -99,6 +109,9 @@ def test_empty_tables(spark, docs):
     assert quality_crf.score(none, quality_crf.fit(none, labels)).count() == 0
     assert quality_rules.apply(none, quality_rules.fit(none, labels)).count() == 0
     assert language.predict(none, language.fit(none)).count() == 0
+    assert jaccard.one_of_each(none).count() == 0 and secrets.redact(none).count() == 0 and decontaminate.clean(none, benchmark).count() == 0
+    assert quality_crf.good_ones(none, quality_crf.fit(none, labels)).count() == 0
+    assert warc.archived(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     key = dict(size=F.lit(1), group=F.col("text"), row=F.col("doc_id"))
     assert sharding.shard(none, **key).count() == 0
 
@@ -125,6 +138,79 @@ def test_forward_backward_is_exact():
         assert np.allclose(pair[at], two / total)
 
 
+def test_likelihood_of_labels_is_exact():
+    rng = np.random.default_rng(2)
+    u, a, doc = rng.normal(0, 2, 8), rng.normal(0, 1, (2, 2)), np.array([0, 0, 0, 1, 1, 1, 1, 2])
+    y = np.array([1, 0, 1, 1, 1, 0, 0, 1])
+    want = 0.0
+    for d in range(3):
+        at = np.flatnonzero(doc == d)
+        weight = lambda z: np.exp(sum(u[at[i]] * z[i] for i in range(len(at))) + sum(a[z[i - 1], z[i]] for i in range(1, len(at))))
+        want += np.log(weight(y[at])) - np.log(sum(weight([bits >> i & 1 for i in range(len(at))]) for bits in range(1 << len(at))))
+    inside = np.append(False, doc[1:] == doc[:-1])
+    assert np.isclose(quality_crf.log_likelihood(*quality_crf.forward_backward(u, a, doc), y, inside), want)
+
+
+def test_fit_reaches_the_maximum():
+    """No weight has a slope left, and neighbouring labels that repeat give a transition that favours it."""
+    rng = np.random.default_rng(4)
+    doc = np.repeat(np.arange(60), 12)
+    y = (np.repeat(rng.integers(0, 2, 180), 4)).astype(int)
+    x = (y[:, None] + rng.normal(0, 1.5, (len(y), 3))).astype(np.float32)
+    w, a = quality_crf._fit_lines(x, y, doc, enough=1e-9)
+    good, pair = quality_crf.forward_backward(x @ w[1:] + w[0], a, doc)
+    slope = np.append(good.sum() - y.sum(), x.T @ (good - y)) / len(y) + 1e-3 * w
+    assert np.abs(slope).max() < 2e-3 and a[0, 0] + a[1, 1] > a[0, 1] + a[1, 0] + 1
+
+
+def test_document_score_is_the_mean_over_lines(texts):
+    """Against a walk over each text's lines, one by one."""
+    rng = np.random.default_rng(6)
+    model = quality_crf.Model(rng.normal(0, 0.4, 3 * quality_crf.N_OWN + 3), rng.normal(0, 1, (2, 2)), (0.3, 1.2), 0.7)
+    rows = [t for t in texts if t is None or len(t) < 5000] + ["a\n\n \nb b b"]
+    x, doc, size = quality_crf.line_features(pa.array(rows, pa.string()))
+    got = model.documents(x, doc, size, len(rows))
+    for i, t in enumerate(rows):
+        lines = [s for s in (t or "").split("\n") if s]
+        own = np.flatnonzero(doc == i)
+        assert [len(s.encode()) for s in lines] == size[own].tolist()
+        if not lines:
+            assert got[i] == 0.7
+            continue
+        u = x[own] @ model.w[1:] + model.w[0]
+        alpha, beta = np.zeros((len(u), 2)), np.ones((len(u), 2))
+        psi = np.exp(np.column_stack([np.zeros(len(u)), u]))
+        alpha[0] = psi[0]
+        for k in range(1, len(u)):
+            alpha[k] = (alpha[k - 1] @ np.exp(model.a)) * psi[k]
+        for k in range(len(u) - 2, -1, -1):
+            beta[k] = np.exp(model.a) @ (psi[k + 1] * beta[k + 1])
+        good = (alpha * beta)[:, 1] / (alpha * beta).sum(1)
+        mean = (good * size[own]).sum() / size[own].sum()
+        z = 0.3 + 1.2 * np.log((mean + 0.01) / (1.01 - mean))
+        assert np.isclose(got[i], 1 / (1 + np.exp(-z))), t[:40]
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:200]
+    rows = [(i, f"text {i} {k}") for i in ids for k in range(3)]  # three texts for each doc_id
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], ids[0] % 2), (None, 1)], "doc_id long, quality int")
+    seen = []
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows[::-1] if n > 1 else rows, "doc_id long, text string").repartition(n)
+        some = common.labelled(labels, 50)
+        seen.append([tuple(r) for r in common.sample(docs, some, lambda t: (t,), "t string").collect()])
+    assert seen[0] == seen[1] and len(seen[0]) == 50 == len({r[0] for r in seen[0]})
+
+
+def test_quality_keeps_other_columns(spark):
+    docs, labels = labelled(spark, 60)
+    docs = docs.withColumns({"score": F.lit(7.0), "predicted": F.lit("mine"), "x.y": F.lit(1)})
+    kept = quality_crf.good_ones(docs, quality_crf.fit(docs, labels))
+    assert kept.columns == docs.columns and 0 < kept.count() < 60
+    assert kept.select("score", "predicted").distinct().collect() == [(7.0, "mine")]
+
+
 def labelled(spark, n=240):
     rng = random.Random(5)
     rows, labels = [], []
@@ -280,9 +366,64 @@ def test_language(spark):
     assert language.predict(docs, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_by_hand():
+    """Gram sets, kernel and ridge solution against plain sets and normal equations."""
+    texts = ["The house", "the  HOUSE!", "das Haus", "ein Haus 77", "la casa", "É à"]
+    data, off = common.flat(pa.array(texts))
+    low = language.folded(data)
+    sets = [language.grams(low[off[i] : off[i + 1]]) for i in range(len(texts))]
+    code = lambda g: (int.from_bytes(g, "big") | (len(g) - 1) << 24) * 2654435761 % (1 << 32) >> 16
+    plain = []
+    for t in texts:
+        b = re.sub(rb" +", b" ", b" " + re.sub(rb"[^a-z\x80-\xff]", b" ", t.replace("É", "é").lower().encode()) + b" ")
+        plain.append({code(b[i : i + k]) for k in (1, 2, 3) for i in range(len(b) - k + 1)})
+    assert [set(s.tolist()) for s in sets] == plain
+    labels = [0, 0, 1, 1, 2]
+    m = language.Model(["en", "de", "es"], sets[:5], labels, 4, 1e-2)
+    chosen = [0, 2, 4, 1]  # taken in turns from the languages
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(plain[i], plain[j]) for j in chosen] for i in range(6)])
+    assert np.allclose(m.kernel(m.presence(sets)), k, atol=1e-6)
+    w, v = np.linalg.eigh(k[chosen])
+    phi = np.column_stack([k @ (v / np.sqrt(w)), np.ones(6)])
+    weight = np.array([1 / 2, 1 / 2, 1 / 2, 1 / 2, 1]) * 5 / 3
+    target = np.where(np.array(labels)[:, None] == np.arange(3), 1.0, -1.0)
+    root = np.sqrt(weight)[:, None]
+    beta = np.linalg.lstsq(np.vstack([phi[:5] * root, 0.1 * np.eye(5)]), np.vstack([target * root, np.zeros((5, 3))]), rcond=None)[0]
+    assert np.allclose(m.margins(sets), phi @ beta, atol=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.least(F.col("id") % 40, F.lit(20)).cast("string")).alias("lang"))
+    model = language.fit(docs, max_langs=5, max_train=50)
+    assert len(model.langs) <= 5 and "l20" in model.langs
+
+
 # 6
 
 
+def test_long_words_stay_in_bounds():
+    t = token_counts.Trie(token_counts.pieces(token_counts.tokenizer_path()), max_nodes=500, max_words=100)
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    whole = t.text(long)[1]
+    assert len(t.best) <= 500 + token_counts.DEPTH + 1 and not t.words
+    best = [(0.0, 0)]
+    s = "▁" + long
+    for j in range(1, len(s) + 1):
+        top = (float("-inf"), 0)
+        for i in range(max(0, j - t.longest), j):
+            if (v := t.score.get(s[i:j])) is not None and best[i][0] + v > top[0]:
+                top = (best[i][0] + v, best[i][1] + 1)
+        best.append(top)
+    assert whole == best[-1][1]
+    many = " ".join(f"w{i}x" for i in range(3000))
+    assert t.text(many) == token_counts.Trie(t.score).text(many)
+    assert len(t.words) <= 100 and len(t.best) <= 500 + token_counts.DEPTH + 1
+    big = (many + " ") * 60  # longer than LONG_TEXT: one word at a time
+    assert len(big) > token_counts.LONG_TEXT and t.text(big)[1] == token_counts.Trie(t.score).text(big)[1] and t.text(big)[0] == len(t.word.findall(" " + big))
+
+
 def test_token_counts_equal_plain_viterbi(spark, docs, texts):
     score = token_counts.pieces(token_counts.tokenizer_path())
     small = token_counts.Trie(score, max_nodes=50, max_words=20)  # starts anew all the time
@@ -439,6 +580,29 @@ def brute_base(text):
     return out + [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
 
 
+def brute_links(text, base, reach):
+    """All pairs of parts: which weak ones have a whole set of complements beside them."""
+    weak = [("account", *m.span()) for m in secrets.ACCOUNT.finditer(text)] + [("endpoint", *m.span()) for m in secrets.ENDPOINT.finditer(text)]
+    for m in secrets.TOKEN.finditer(text):
+        s = m[0]
+        if s != s.lower() and s != s.upper() and any(c.isdigit() for c in s) and not any(a < m.end() and m.start() < b for _, a, b in base):
+            weak.append(("token", *m.span()))
+    out = []
+    for kind, a, b in weak:
+        near = {k for k, c, d in base + weak if a - reach <= d <= a or b <= c <= b + reach}
+        name, place, assigned, bare = bool(near & {"access", "account"}), "endpoint" in near, "assign" in near, bool(near & {"hex", "token"})
+        if {"token": name + place + assigned >= 2, "account": assigned or place and bare, "endpoint": name and (assigned or bare)}[kind]:
+            out.append((kind, a, b))
+    return out
+
+
+def test_redact_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a secret=abcdefgh b", "x", 5, 19), (2, None, "y", None, None)], "doc_id long, text string, spans string, `a.b` int, n_chars int")
+    assert sorted(map(tuple, secrets.redact(docs).collect())) == [(1, "a [removed] b", "x", 5, 13), (2, None, "y", None, None)]
+    odd = docs.withColumn("n_chars", F.lit("many"))
+    assert sorted(r.n_chars for r in secrets.redact(odd).collect()) == ["many", "many"]
+
+
 def test_secrets(spark, docs):
     rng = random.Random(1)
     bits = ['password = "hunter22"', "PASSWD:abc", "token=" + "a1" * 20, "AKIA" + "Z9" * 9, "AKIAshort", "ſecret: abcdefg", "api-key=1", "apikey = 'zzzzzzzz", "f" * 30, "https://host.example/x", "user: bob", "10.0.0.1:8080", "Ab1" * 9, "\n", "filler words", "é😀"]
@@ -446,14 +610,17 @@ def test_secrets(spark, docs):
         text = " ".join(rng.choice(bits) for _ in range(k % 9))
         base = secrets.base_spans(text)
         assert sorted(base) == sorted(brute_base(text))
-        every = base + secrets.linked_spans(text, base)
-        assert set(base) <= set(every) and len(set(every)) == len(every)
-        assert not any(s[0] in ("token", "account", "endpoint") for s in every) or base or {"account", "endpoint"} <= {s[0] for s in every} or any(s[0] == "token" for s in every)
+        every = base + secrets.linked_spans(text, base, 60)
+        assert set(base) <= set(every) and sorted(every) == sorted(base + brute_links(text, base, 60)), text
     assert secrets.linked_spans("user: bob at nowhere", []) == []
     linked = "user: bob\nhttps://host.example/x\n" + "Ab1" * 9
-    assert [s[0] for s in secrets.linked_spans(linked, [])] == ["token"]
+    assert [s[0] for s in secrets.linked_spans(linked, [])] == ["account", "endpoint", "token"]
     far = "Ab1" * 9 + " word" * 200 + " https://host.example/x user: bob"
     assert secrets.linked_spans(far, []) == []
+    commit = "See https://example.org/commit/" + "a1b2c3d4e5" * 4 + " and https://example.org/docs or " + "0123456789abcdef" * 2
+    assert [s[0] for s in secrets.base_spans(commit)] == ["hex", "hex"] and secrets.linked_spans(commit, secrets.base_spans(commit)) == []
+    named = "login: ada " + commit
+    assert {s[0] for s in secrets.linked_spans(named, secrets.base_spans(named))} == {"account", "endpoint"}
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     assert got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.redacted("a secret=abcdefgh b", [("assign", 2, 17), ("hex", 9, 17)]) == "a [removed] b"
@@ -495,6 +662,37 @@ def test_trees_never_rise_with_a_falling_feature():
         assert (np.diff(trees.score(grid).reshape(50, 30), axis=1) <= 1e-12).all()
 
 
+def test_trees_equal_a_plain_walk():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, len(quality_rules.FEATURES)))
+    y = (x[:, 0] - x[:, 3] > 0).astype(float)
+    t = quality_rules.boost(x, y, tuple(quality_rules.FEATURES.index(f) for f in quality_rules.FALLING), trees=12)
+
+    def walk(row):
+        total = t.start
+        for node in t.roots:
+            while t.left[node] != node:
+                node = t.left[node] if row[t.feature[node]] <= t.threshold[node] else t.right[node]
+            total += t.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(t.score(x), [walk(r) for r in x])
+
+
+def test_kept_is_the_rule_and_the_score(spark, docs):
+    train, labels = labelled(spark)
+    trees = quality_rules.fit(train, labels)
+    rows = docs.collect()
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.apply(docs, trees).collect()), key=repr)
+    score = trees.score(quality_rules.statistics(pa.array([r.text for r in rows], pa.string()))["features"])
+    want = []
+    for r, v in zip(rows, score):
+        n, *rest = brute_statistics(r.text)
+        failed = n < 10 or 100 * rest[-1] > 20 * n
+        want.append((r.doc_id, n, *rest, failed, not failed and bool(v >= 0.3)))
+    assert got == sorted(want, key=repr) and any(w[-1] for w in want) and any(not w[-1] for w in want)
+
+
 # 10
 
 
@@ -510,7 +708,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert kinds == sorted([(3, "revisit", 1), (1, "response", None), (7, "revisit", 1), (4, "response", None), (5, "response", None), (6, "response", None), (2, "response", None), (8, "response", None), (1, "response", None)], key=lambda x: (x[0], x[1]))
     for r in got:
         html = next((h or "").encode() for i, _, h in pages if i == r.record_id)
-        assert r.digest == hashlib.sha256(html).hexdigest() and r.n == len(html)
+        assert r.digest == hashlib.sha256(html).hexdigest()
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         assert rest == (html if r.record_type == "response" else b"") + b"\r\n\r\n"
         assert f"Content-Length: {len(html) if r.record_type == 'response' else 0}".encode() in head
@@ -546,3 +744,47 @@ def test_warc_revisit_without_original_is_found(spark, tmp_path, rebuild):
     spark.read.parquet(f"{path}/payloads").limit(0).write.parquet(f"{path}/lost/payloads")
     with pytest.raises(Exception, match="no payload with digest"):
         warc.load(spark, f"{path}/lost", rebuild=rebuild).collect()
+
+
+def test_warc_files(spark, tmp_path):
+    """Files as a plain parser reads them; payloads of any bytes, among them what looks like a record."""
+    odd = bytes(range(256)) * 3 + b"\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    rows = [("a>b%", "http://x\r\ny", bytearray(odd)), ("c", "u", bytearray(odd)), ("d", None, bytearray(b"")), ("e", "u", None), (None, "u", bytearray(b"short"))]
+    store, files = str(tmp_path / "s"), str(tmp_path / "f")
+    warc.store(spark.createDataFrame(rows, "record_id string, uri string, payload binary"), store)
+    warc.export(spark, store, files, file_records=2)
+    import glob
+
+    paths = sorted(glob.glob(f"{files}/part-*"))
+    plain = [x for p in paths for x in warc.records_of(open(p, "rb").read())]
+    assert len(plain) == 5 and len(paths) >= 3
+    for head, payload in plain:
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1" and lines[-2:] == ["", ""]
+        fields = dict(x.split(": ", 1) for x in lines[1:-2])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and {"WARC-Type", "WARC-Record-ID", "Content-Length"} <= set(fields)
+        assert int(fields["Content-Length"]) == len(payload)
+    got = {r.record_id: (r.record_type, r.uri, r.refers_to, r.n, None if r.payload is None else bytes(r.payload)) for r in warc.read(spark, files, "string").collect()}
+    assert got == {"a>b%": ("response", "http://x%0D%0Ay", None, len(odd), odd), "c": ("revisit", "u", "a>b%", None, None), "d": ("response", "", None, 0, b""), "e": ("response", "u", None, 0, b""), None: ("response", "u", None, 5, b"short")}
+    broken = tmp_path / "g"
+    broken.mkdir()
+    (broken / "part-0").write_bytes(b"".join(h + p + b"\r\n\r\n" for h, p in plain).replace(b"short", b"shirt"))
+    with pytest.raises(Exception, match="another digest"):
+        warc.read(spark, str(broken), "string").collect()
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op10_warc"])
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_sql(spark, name):
+    import duckdb
+
+    from weftwork.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    out = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in out.description]
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(names) == sorted(df.columns)
+    assert collected(df, *names) == sorted(out.fetchall(), key=repr)
