@@ -1,4 +1,17 @@
-"""A corpus from documents to packed sequences: five stages, each written as Parquet and read by the next."""
+"""A corpus from documents to packed sequences: five stages, each written as Parquet and read by the next.
+
+Defined results of the first four stages: rows keep all their columns, whatever their names, and only text and, if it is
+there as a whole number, n_chars may change; an empty table stays empty.
+
+* quality_classifier: documents with a score below the threshold go. A null text, or one without a non-empty line, has
+  the score of the sample's share of good documents. Repeated rows are scored one by one.
+* near_duplicates: one row of each group stays, that of the least doc_id. Rows without words are groups of their own by
+  doc_id; those without doc_id too all stay. Repeated rows are copies.
+* decontamination: documents with two benchmark items go; the passages of a single item are cut out of the others.
+  Null and empty texts have none.
+* secret_scans: secrets and linked parts are replaced; null and empty texts stay as they are.
+* packing: a null text is packed as its end id alone; repeated rows are documents of their own; null doc_ids stay null.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +24,7 @@ from weftwork.llm.common import table, write_shared
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier takes for good ones."""
     model = quality_crf.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality_crf.score(docs.select("*"), model).where("predicted = 1").select(*docs.columns)
+    return quality_crf.good_ones(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
