@@ -18,7 +18,7 @@ r"""N-gram Jaccard join: groups of documents linked by a Jaccard similarity of 0
    a shingle of m rows, all but r in one group, costs about r m comparisons and not m m.
 
 Scale: rows of copies are merged before the shuffle by shingle, in each task; pair rows carry keys until the
-bitmaps have been used; the sorted arrays are written once, and only those of open pairs are shuffled. The counts
+bitmaps have been used; only texts of open pairs are shuffled, one for each set, and made into sorted arrays. The counts
 sent to the driver and the executors have 2**18 entries at any size. Groups come from label propagation over
 narrow rows, each round written to the shared folder. Tables that no later step reads are deleted.
 
@@ -99,13 +99,13 @@ def prefix_length(n: int) -> int:
 
 
 def _profile(docs: DataFrame, keys: Keys) -> DataFrame:
-    """Rows of documents (doc_id, n, fp, check, bits, s) and of bucket counts (bucket, texts); a task gives bits and s of a set once."""
+    """Rows of documents (doc_id, t, n, fp, check, bits) and of bucket counts (bucket, texts); t: hash of the text; a task gives a set's bits once."""
     kind = docs.schema["doc_id"].dataType
-    names = ["doc_id", "n", "fp", "check", "bits", "s", "bucket", "texts"]
+    names = ["doc_id", "t", "n", "fp", "check", "bits", "bucket", "texts"]
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+    types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 
     def rows(size: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types)], names=names)
@@ -118,7 +118,7 @@ def _profile(docs: DataFrame, keys: Keys) -> DataFrame:
                 n = [len(s) for s in sets]
                 if sum(n):
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-                fp, check, bits, arrays = [], [], [], []
+                fp, check, bits = [], [], []
                 for s in sets:
                     fp.append(keys(s) if len(s) else None)
                     check.append(keys.check(s) if len(s) else None)
@@ -126,24 +126,22 @@ def _profile(docs: DataFrame, keys: Keys) -> DataFrame:
                     if new:
                         seen.add((fp[-1], check[-1]))
                     bits.append(bitmap(s) if new else None)
-                    arrays.append(s.tobytes() if new else None)
-                yield rows(len(n), doc_id=part.column("doc_id"), n=pa.array(n, pa.int64()), fp=pa.array(fp, pa.int64()), check=pa.array(check, pa.int64()), bits=pa.array(bits, pa.binary()), s=pa.array(arrays, pa.binary()))
+                yield rows(len(n), doc_id=part.column("doc_id"), t=part.column("t"), n=pa.array(n, pa.int64()), fp=pa.array(fp, pa.int64()), check=pa.array(check, pa.int64()), bits=pa.array(bits, pa.binary()))
         used = np.flatnonzero(counts)
         for a in range(0, len(used), 50_000):
             some = used[a : a + 50_000]
             yield rows(len(some), bucket=pa.array(some), texts=pa.array(counts[some]))
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, n long, fp long, check long, bits binary, s binary, bucket int, texts long").withColumn("row", F.monotonically_increasing_id())
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind.simpleString()}, t long, n long, fp long, check long, bits binary, bucket int, texts long")
 
 
 def _classes(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, Keys]:
-    """The profile, one row for each different set (fp, rep, n, row of its array, bits), and the keys used."""
+    """The profile, one row for each different set (fp, rep, n, bits, and doc_id and t of a text with this set as row), and the keys used."""
     keys = Keys(bits=bits)
     for _ in range(2):
         profile = write_shared(_profile(docs, keys), "jaccard-profile")
         full = profile.where("fp is not null")
-        held = F.when(F.col("s").isNotNull(), F.col("row"))
-        classes = write_shared(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.min(held).alias("row"), F.min("check").alias("c0"), F.max("check").alias("c1")), "jaccard-classes")
+        classes = write_shared(full.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.min(F.struct("doc_id", "t")).alias("row"), F.min("check").alias("c0"), F.max("check").alias("c1")), "jaccard-classes")
         twice = [r["fp"] for r in classes.where("c0 != c1").select("fp").limit(100_001).collect()]  # none, or a few at 10**10 sets
         if not twice:
             return profile, classes.drop("c0", "c1"), keys
@@ -177,7 +175,7 @@ class _Places:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, keys: Keys, often: int = OFTEN, tile: int = TILE) -> DataFrame:
-    """token, tile, again, fp and n for the rarest shingles of each set; each set once in a task, again: a second row in the common tile."""
+    """token, tile, fp and n for the rarest shingles of each set; each set once in a task; a second row, in the common tile, has -n."""
     sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 20) - 1).astype(np.uint32))
 
     def run(batches):
@@ -201,13 +199,28 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, keys: Keys, often: int = OFTE
                 if tokens:
                     token, fp, n = np.concatenate(tokens), np.concatenate(fps).astype(np.int64), np.concatenate(ns).astype(np.int64)
                     place, firsts = places(token)
-                    token, again = token.view(np.int64), np.zeros(len(token), bool)
+                    token = token.view(np.int64)
                     if firsts.any():
-                        token, fp, n = (np.concatenate([x, x[firsts]]) for x in (token, fp, n))
-                        place, again = np.concatenate([place, np.zeros(int(firsts.sum()), np.int64)]), np.concatenate([again, np.ones(int(firsts.sum()), bool)])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, place, again, fp, n)], names=["token", "tile", "again", "fp", "n"])
+                        token, fp, n = np.concatenate([token, token[firsts]]), np.concatenate([fp, fp[firsts]]), np.concatenate([n, -n[firsts]])
+                        place = np.concatenate([place, np.zeros(int(firsts.sum()), np.int64)])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, place, fp, n)], names=["token", "tile", "fp", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, tile long, again boolean, fp long, n long")
+    return docs.select("text").mapInArrow(run, "token long, tile long, fp long, n long")
+
+
+def _arrays(texts: DataFrame, keys: Keys) -> DataFrame:
+    """fp and sorted array of the sets of texts; each set once in a task."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = {keys(s): s for s in shingles(part.column("text")) if len(s)}
+                new = [k for k in sets if k not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([sets[k].tobytes() for k in new], pa.binary())], names=["fp", "s"])
+
+    return texts.select("text").mapInArrow(run, "fp long, s binary")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -227,11 +240,12 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _decided(pairs: DataFrame, classes: DataFrame, profile: DataFrame, label: str) -> DataFrame:
+def _decided(pairs: DataFrame, classes: DataFrame, docs: DataFrame, keys: Keys, label: str) -> DataFrame:
     """Those pairs (a written table) that are similar, by exact intersection."""
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = classes.select("fp", "row").join(ends, "fp", "left_semi")
-    sets = write_shared(profile.where("s is not null").select("row", "s").join(wanted, "row").select("fp", "s"), f"{label}-sets")
+    wanted = classes.select("fp", "row").join(ends, "fp", "left_semi").select("row")
+    texts = docs.select("text", F.struct("doc_id", F.xxhash64("text").alias("t")).alias("row")).join(wanted, "row", "left_semi")
+    sets = write_shared(_arrays(texts, keys), f"{label}-sets")  # rows that repeat a doc_id and text lie in one task
 
     def run(batches):
         for batch in batches:
@@ -283,7 +297,8 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
     """Tiles with two or more sets: each row with the one before it and the first of its band."""
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(DEN / NUM)).cast("int")
     w = W.partitionBy("token", "tile").orderBy("band", "n", "fp", "again")
-    rows = prefixes.withColumn("band", band).withColumn("same", F.lag("fp").over(w)).where("same is null or same != fp")
+    rows = prefixes.repartition("token", "tile").withColumns({"again": F.col("n") < 0, "n": F.abs("n")})
+    rows = rows.withColumn("band", band).withColumn("same", F.lag("fp").over(w)).where("same is null or same != fp")
     rows = rows.withColumns({"p": F.lag("fp").over(w), "p_n": F.lag("n").over(w), "after": F.lead("fp").over(w), "v": F.first("fp").over(W.partitionBy("token", "tile", "band").orderBy("n", "fp", "again"))})
     return rows.where("p is not null or after is not null or tile != 0").select("token", "again", "fp", "n", "p", "p_n", "v")
 
@@ -394,7 +409,7 @@ def _groups(docs: DataFrame, *, key_bits: int = 64, block: int = BLOCK, often: i
     tiles = write_shared(_tiles(_prefixes(docs, counts, keys, often, tile)), "jaccard-tiles")
     near = write_shared(_near_pairs(tiles), "jaccard-near")
     open_ = write_shared(_bounded(near, classes), "jaccard-open")
-    links = _decided(open_, classes, profile, "jaccard-near")
+    links = _decided(open_, classes, docs, keys, "jaccard-near")
     labels = components(links, "jaccard-near")
     decided = [near]
 
@@ -405,7 +420,7 @@ def _groups(docs: DataFrame, *, key_bits: int = 64, block: int = BLOCK, often: i
         for known in decided:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = write_shared(pairs, name)
-        out = contracted(labels, _decided(pairs, classes, profile, name), name)
+        out = contracted(labels, _decided(pairs, classes, docs, keys, name), name)
         drop_shared(mixed)
         decided.append(pairs)
         return out
