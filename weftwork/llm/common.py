@@ -26,7 +26,13 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 
 
+#: Bytes of an Arrow batch, where the session names no bound: 10,000 rows of long texts would be far more.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,6 +75,7 @@ def drop_shared(*tables: DataFrame) -> None:
 
 def trim() -> None:
     """Give freed memory back: Python workers live on, and other stages' tasks share their executor."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
