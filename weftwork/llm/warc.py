@@ -49,7 +49,7 @@ def store(records: DataFrame, path: str, *, min_revisit: int = MIN_REVISIT) -> N
     spark = records.sparkSession
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     digested = records.select("record_id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
-    (digested.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.max("n").alias("n"), F.any_value("payload").alias("payload")).write.parquet(f"{path}/payloads"))
+    (digested.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.max("n").alias("n"), F.any_value("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads"))
     first = spark.read.parquet(f"{path}/payloads").select("digest", "first_id")
     again = (F.col("n") >= min_revisit) & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     uri = F.replace(F.replace(F.coalesce("uri", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -60,7 +60,7 @@ def store(records: DataFrame, path: str, *, min_revisit: int = MIN_REVISIT) -> N
         F.when(again, F.concat(F.lit(f"{CRLF}WARC-Profile: {_REVISIT}{CRLF}WARC-Refers-To: "), _name(F.col("first_id")))).otherwise(""),
         F.lit(f"{CRLF}Content-Type: text/html{CRLF}Content-Length: "), F.when(again, F.lit(0)).otherwise(F.col("n")).cast("string"), F.lit(CRLF + CRLF),
     )
-    digested.drop("payload").join(first, "digest").select("digest", header.cast("binary").alias("header")).write.parquet(f"{path}/headers")
+    digested.drop("payload").join(first, "digest").select("digest", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def parsed(headers: DataFrame, kind: str = "long") -> DataFrame:
