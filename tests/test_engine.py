@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftwork import cli
 from weftwork import config as C
+from weftwork.functions import fuzzy as Z
 from weftwork.operators import extract, lineage, merge, project, resolve, score, validate
 from weftwork.plans import pipeline
 from weftwork.schema import RECORD
@@ -52,6 +53,21 @@ def test_groups_equal_all_pairs(spark, seed, threshold):
     assert [r.group_id for r in got] == brute(rows, threshold)
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.8, 0.85, 1.0])
+def test_name_pairs_equal_brute_force(spark, threshold):
+    r = random.Random(3)
+    word = lambda k: "".join(r.choice("abcdeé") for _ in range(k))
+    names = {" ".join(word(r.randint(1, 7)) for _ in range(r.randint(1, 3))) for _ in range(60)} | {"", " ", "a", "ab", "ab c", "c ab", "c  ab"}
+    for x in sorted(names)[:40]:
+        k = r.randrange(len(x) + 1)
+        names.add(x[:k] + r.choice("abz") + x[k + 1 :])
+    long = [word(resolve.PLACED + k) for k in (0, 1, 30)]
+    names |= set(long) | {x[3:50] + x[52:] for x in long} | {x[:40] + "zz" + x[40:] for x in long}
+    got = {(x.a, x.b): x.score for x in resolve.name_pairs(spark.createDataFrame([(x,) for x in names], "name string"), threshold).collect()}
+    want = {(a, b): v for a, b in itertools.combinations(sorted(names), 2) if a.strip() and b.strip() and (v := Z.plain_token_sort(a, b)) >= threshold}
+    assert got == want
+
+
 def test_chain_and_reasons(spark):
     rows = [("Ann Lee", "a@x.com"), ("Zoe Other", "A@X.COM"), ("Zoe Othr", None), ("Far Away", None)]
     df = people(spark, rows).withColumn("source", F.lit("csv"))

@@ -100,13 +100,19 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), ratio(token_sorted(a), token_sorted(b))).otherwise(0.0)
 
 
-def bag(c: Column) -> Column:
-    """Characters with a number for each repeat: the overlap of two bags bounds the LCS from above."""
+#: 64-bit words of a signature.
+WORDS = 2
+
+
+def signature(c: Column) -> Column:
+    """A bit for each character and number of its repeat: bits that only one string has are characters it does not share."""
     chars = F.array_sort(F.split(c, ""))
-    return F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x)).cast("string")))
+    place = F.transform(chars, lambda x, i: F.pmod(F.xxhash64(x, i - F.array_position(chars, x)), F.lit(64 * WORDS)))
+    word = lambda k: F.aggregate(place, F.lit(0).cast("long"), lambda acc, p: F.when(F.floor(p / 64) == k, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int")))).otherwise(acc))
+    return F.struct(*[word(k).alias(f"w{k}") for k in range(WORDS)])
 
 
-def may_reach(a: Column, b: Column, bag_a: Column, bag_b: Column, least: float) -> Column:
-    """False only where the ratio can't reach least: lengths, then characters in common."""
-    both = F.length(a) + F.length(b)
-    return (2 * F.least(F.length(a), F.length(b)) >= least * both - 1e-9) & (2 * F.size(F.array_intersect(bag_a, bag_b)) >= least * both - 1e-9)
+def may_reach(n: Column, nb: Column, sig: Column, sig_b: Column, least: float) -> Column:
+    """False only where the ratio can't reach least: the LCS of strings of lengths n and nb leaves out characters not shared."""
+    alone = lambda x, y: sum((F.bit_count(x[f"w{k}"].bitwiseAND(F.bitwise_not(y[f"w{k}"]))) for k in range(WORDS)), F.lit(0))
+    return 2 * F.least(n - alone(sig, sig_b), nb - alone(sig_b, sig)) >= least * (n + nb) - 1e-9

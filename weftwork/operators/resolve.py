@@ -32,34 +32,50 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Up to this length of the longer name pieces are looked for at each place they can have moved to; beyond it anywhere.
+PLACED = 64
+
+
 def name_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, score) of different names with a ratio of threshold or more; names has one column, name, distinct.
 
-    A match of lengths m <= n takes at most d = (1 - t)(m + n) insertions and deletions, and each spoils at most
-    one piece of the shorter name. Cut into d + 1 pieces, one of them stands whole in the longer name, at most d
-    places off. So pieces of each name are joined by equality with substrings of the others, and lengths and
-    character bags drop what can't match before any LCS is taken. No matching pair is lost."""
-    base = names.select("name", Z.token_sorted(F.col("name")).alias("s")).withColumn("n", F.length("s"))
-    base = base.where("n > 0").withColumn("bag", Z.bag(F.col("s")))
-    n = F.col("n")
-    # partners are no longer than (2 - t) / t times, so d is bounded by the longer one's length
-    longest = F.floor(n * (2 - threshold) / threshold + 1e-9)
-    edits = F.floor((1 - threshold) * (n + longest) + 1e-9).cast("int")
-    # names too short to be cut into d + 1 pieces are joined by length alone
-    pieces = base.withColumn("d", edits).withColumn("size", F.floor(n / (F.col("d") + 1)).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct((i * F.col("size")).cast("int").alias("at"), F.substr(F.col("s"), (i * F.col("size") + 1).cast("int"), F.col("size")).alias("piece")))
-    left = pieces.where("size > 0").select("name", "s", "n", "bag", "d", "size", F.explode(cut).alias("x")).select("name", "s", "n", "bag", "d", "size", "x.*")
-    sizes = left.select("size", "piece").distinct()  # only pieces that stand somewhere are looked for
-    lengths = left.select("size").distinct()
-    grams = base.join(F.broadcast(lengths), F.col("size") <= F.col("n")).withColumn("p", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1))).select(F.col("name").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("bag").alias("bag_b"), "size", F.substr(F.col("s"), F.col("p"), F.col("size")).alias("piece"), (F.col("p") - 1).alias("at_b"))
-    grams = grams.join(sizes, ["size", "piece"], "left_semi")
-    hits = left.join(grams, ["size", "piece"]).where((F.abs(F.col("at") - F.col("at_b")) <= F.col("d")) & (F.col("n") <= F.col("nb")) & (F.col("name") != F.col("b")))
-    short = pieces.where("size = 0").select("name", "s", "n", "bag")
-    tiny = short.join(base.select(F.col("name").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), F.col("bag").alias("bag_b")), (F.col("nb") >= F.col("n")) & (F.col("nb") <= F.floor(F.col("n") * (2 - threshold) / threshold + 1e-9)) & (F.col("name") != F.col("b")))
-    cols = ["name", "s", "bag", "b", "sb", "bag_b"]
-    both = hits.select(*cols).union(tiny.select(*cols)).where(Z.may_reach(F.col("s"), F.col("sb"), F.col("bag"), F.col("bag_b"), threshold))
-    both = both.select(F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b"), F.when(F.col("name") < F.col("b"), F.col("s")).otherwise(F.col("sb")).alias("sa"), F.when(F.col("name") < F.col("b"), F.col("sb")).otherwise(F.col("s")).alias("sb")).distinct()
-    return both.withColumn("score", Z.ratio_udf("sa", "sb")).where(F.col("score") >= threshold).select("a", "b", "score")
+    A match of lengths n <= nb takes at most d = (1 - t)(n + nb) insertions and deletions. The shorter name is cut into
+    d + 1 even pieces. Take the first piece i such that pieces 0 to i hold at most i edits: it is whole, exactly i edits
+    stand before it, so it has moved by i, i - 2, ... -i places, and at most d - i edits make up the rest of the
+    difference in length. So both names are joined on one key of both lengths, i and the piece. What only agrees by
+    chance is dropped by lengths and character signatures, then by the exact ratio. No matching pair is lost."""
+    base = names.select("name", Z.token_sorted(F.col("name")).alias("s")).withColumn("n", F.length("s")).where("n > 0")
+    base = base.withColumn("sig", Z.signature(F.col("s")))
+    # a row for each length that stands somewhere: at most the length of the longest name, whatever the rows
+    lengths = F.broadcast(base.select(F.col("n").alias("other")).distinct())
+    n, nb, d = F.col("n"), F.col("nb"), F.col("d")
+    begin = lambda i: F.floor(i * n / (d + 1)).cast("int")
+    key = lambda i, piece: F.xxhash64(n, nb, i, piece)
+
+    def keyed(shorter: bool, keys: Column) -> DataFrame:
+        own, far = ("n", "nb") if shorter else ("nb", "n")
+        at = base.withColumnRenamed("n", own).join(lengths.withColumnRenamed("other", far), (n <= nb) & (n * (2 - threshold) >= nb * threshold - 1e-6))
+        at = at.withColumn("d", F.floor((1 - threshold) * (n + nb) + 1e-9).cast("int"))
+        # names too short to be cut into d + 1 pieces are joined by length alone
+        found = F.when(d >= n, F.array(key(F.lit(0), F.lit("")))).otherwise(F.array_distinct(keys))
+        return at.select("name", "s", own, "sig", F.explode(found).alias("key"))
+
+    each, s = F.sequence(F.lit(0), d), F.col("s")
+    part = lambda at, size: F.substr(s, at + 1, size)
+    cut = F.transform(each, lambda i: key(F.when(nb <= PLACED, i).otherwise(F.lit(-1)), part(begin(i), begin(i + 1) - begin(i))))
+
+    def moved(i: Column) -> Column:
+        size = begin(i + 1) - begin(i)
+        can = lambda x: (F.abs(nb - n - x) <= d - i) & (begin(i) + x >= 0) & (begin(i) + x + size <= nb)
+        return F.transform(F.filter(F.sequence(-i, i, F.lit(2)), can), lambda x: key(i, part(begin(i) + x, size)))
+
+    even = F.floor(n / (d + 1)).cast("int")
+    anywhere = F.transform(F.array(even, even + 1), lambda size: F.transform(F.sequence(F.lit(0), F.greatest(nb - size, F.lit(0))), lambda p: key(F.lit(-1), part(p, size))))
+    looked = F.flatten(F.when(nb <= PLACED, F.transform(each, moved)).otherwise(anywhere))
+    a, b = keyed(True, cut), keyed(False, looked).withColumnsRenamed({"name": "other", "s": "so", "sig": "sig_o"})
+    hits = a.join(b, "key").where(((n < nb) | ((n == nb) & (F.col("name") < F.col("other")))) & Z.may_reach(n, nb, F.col("sig"), F.col("sig_o"), threshold))
+    both = hits.select("name", "s", "other", "so").distinct().withColumn("score", Z.ratio_udf("s", "so"))
+    return both.where(F.col("score") >= threshold).select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"), "score")
 
 
 def email_key() -> Column:

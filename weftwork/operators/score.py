@@ -66,14 +66,15 @@ def least_similarity(members: DataFrame, config: Confidence, ratio=Z.ratio_udf)
     names = [f for f in SCALARS if not config.thresholds(f).skip_agreement]
     forms = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.length(X.strip(F.col(f))) > 0, form(f, F.col(f), config)).alias("v")) for f in names])
     own = members.select("group_id", F.explode(forms).alias("x")).select("group_id", "x.*").where("v is not null").groupBy("group_id", "field", "v").agg(F.count(F.lit(1)).alias("k"))
-    pairs = own.select("group_id", "field", F.col("v").alias("a")).join(own.select("group_id", "field", F.col("v").alias("b")), ["group_id", "field"]).where("a < b")
-    pairs = pairs.withColumn("r", F.when(F.col("field") != "email", ratio(F.col("a"), F.col("b"))))
+    # two e-mails are alike or not, so they need no pairs
+    pairs = own.where("field != 'email'").select("group_id", "field", F.col("v").alias("a")).join(own.select("group_id", "field", F.col("v").alias("b")), ["group_id", "field"]).where("a < b")
+    pairs = pairs.withColumn("r", ratio(F.col("a"), F.col("b")))
     s = F.lit(None).cast("double")
     for f in names:
         s = F.when(F.col("field") == f, similarity(f, F.col("a"), F.col("b"), lambda *_: F.col("r"))).otherwise(s)
     least = pairs.groupBy("group_id", "field").agg(F.min(s).alias("s"))
-    n = own.groupBy("group_id", "field").agg(F.sum("k").alias("n"))
-    return n.join(least, ["group_id", "field"], "left").select("group_id", "field", "n", F.when(F.col("n") > 1, F.coalesce("s", F.lit(1.0))).alias("similarity"))
+    n = own.groupBy("group_id", "field").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("values"))
+    return n.join(least, ["group_id", "field"], "left").select("group_id", "field", "n", F.when(F.col("n") > 1, F.coalesce("s", F.when((F.col("field") == "email") & (F.col("values") > 1), 0.0).otherwise(1.0))).alias("similarity"))
 
 
 def percent(c: Column) -> Column:
