@@ -1,6 +1,7 @@
 """Operators against plain brute-force versions, on rows with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -424,6 +425,23 @@ def test_long_words_stay_in_bounds():
     assert len(big) > token_counts.LONG_TEXT and t.text(big)[1] == token_counts.Trie(t.score).text(big)[1] and t.text(big)[0] == len(t.word.findall(" " + big))
 
 
+def test_scores_of_ranks_are_log_probabilities():
+    score = token_counts.zipf({"a": -1.0, "b": 0.0, "c": -7.0, "d": -7.0})
+    h = 1 + 1 / 2 + 1 / 3 + 1 / 4
+    assert {w: round(math.exp(s) * h, 9) for w, s in score.items()} == {"b": 1.0, "a": 0.5, "c": 0.25, "d": 0.25}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_token_counts_are_near_those_of_the_files_merges(spark):
+    """Within 3 % over all documents; the segmentations are not the same, and one letter repeated 200,000 times is a third off."""
+    import sentencepiece
+
+    merges = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    total = sum(len(merges.encode(r.text or "")) for r in docs.collect())
+    assert abs(token_counts.token_counts(docs, token_counts.tokenizer_path()).groupBy().sum("n_tokens").first()[0] - total) <= 0.03 * total
+
+
 def test_token_counts_equal_plain_viterbi(spark, docs, texts):
     score = token_counts.pieces(token_counts.tokenizer_path())
     small = token_counts.Trie(score, max_nodes=50, max_words=20)  # starts anew all the time

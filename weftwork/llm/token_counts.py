@@ -6,8 +6,9 @@ alone, so it is computed once for each trie node, from the nodes above it, and s
 begin so. A word's terminal count is the number of pieces on the best path; a text's count is the sum over
 its words.
 
-Pieces and scores are those of a public SentencePiece file (its path is a parameter; blanks are kept, and
-a first blank is put before the text). Characters outside the vocabulary stand alone and count as their
+Pieces are those of a public SentencePiece file (its path is a parameter; blanks are kept, and a first blank is put before
+the text). A unigram file's scores are log probabilities and taken as they are. The scores of a file of merges are only
+ranks, whose sums mean nothing, so a piece of rank r among n has the log probability of Zipf's law, -ln(r H_n). Characters outside the vocabulary stand alone and count as their
 UTF-8 bytes. Of equal scores, the path whose last piece is longest wins.
 
 Scale: one narrow pass, no shuffle: each Python worker keeps a trie and terminal counts bounded by ``max_nodes`` and
@@ -20,6 +21,8 @@ own; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 
 import pyarrow as pa
@@ -31,12 +34,20 @@ MAX_NODES, MAX_WORDS, DEPTH, LONG_TEXT = 600_000, 1_200_000, 64, 1 << 20
 BLANK = "▁"
 
 
+def zipf(scores: dict[str, float]) -> dict[str, float]:
+    """Log probabilities of pieces known by order of score alone: 1 / (r H_n) for rank r of n; equals share the last rank."""
+    order, total = sorted(-s for s in scores.values()), sum(1 / r for r in range(1, len(scores) + 1))
+    return {w: -math.log(bisect.bisect_right(order, -s) * total) for w, s in scores.items()}
+
+
 def pieces(path: str) -> dict[str, float]:
-    """Normal pieces of a SentencePiece file and their scores."""
+    """Normal pieces of a SentencePiece file and their log probabilities."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    return {p.id_to_piece(i): p.get_score(i) for i in range(p.vocab_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))}
+    scores = {p.id_to_piece(i): p.get_score(i) for i in range(p.vocab_size()) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))}
+    # a file of merges numbers its pieces downwards from 0
+    return zipf(scores) if all(s <= 0 and s == int(s) for s in scores.values()) else scores
 
 
 class Trie:
